@@ -68,11 +68,7 @@ def canonical_brand(c: Column) -> Column:
     return F.array_join(kept, " ")
 
 
-def aliased_brand(c: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Canonical brand with a short in-code alias list (a table goes through canonicalize_brands)."""
-    pairs = BRAND_ALIASES if aliases is None else aliases
-    brand = canonical_brand(c)
-    out = brand
-    for spelling, meant in pairs.items():
-        out = F.when(brand == spelling, F.lit(meant)).otherwise(out)
-    return out
+def lookup(mapping: dict[str, str], c: Column) -> Column:
+    """The mapped text, or the text itself; ``c`` should be a plain column, as it is used twice."""
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.coalesce(F.element_at(table, c), c)

@@ -45,9 +45,10 @@ def standardize_pack(df: DataFrame, c: str) -> DataFrame:
     """Adds value, unit, base amount (g/ml/pieces) and unit family of a pack-size text."""
     packed = df.withColumn("_pack", units.pack(F.col(c)))
     return (packed.withColumn("pack_value", F.col("_pack.value"))
-            .withColumn("pack_unit", units.unit_alias(F.col("_pack.unit")))
+            .withColumn("_written", F.col("_pack.unit"))
+            .withColumn("pack_unit", units.unit_alias(F.col("_written")))
             .withColumn("base_amount", units.base_value(F.col("pack_value"), F.col("pack_unit")))
-            .withColumn("unit_family", units.family(F.col("pack_unit"))).drop("_pack"))
+            .withColumn("unit_family", units.family(F.col("pack_unit"))).drop("_pack", "_written"))
 
 
 # The spellings found in feeds and the label meant.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written data.
+    """Write ``df`` to the checkpoint folder as Parquet and continue from the written table.
 
-    Used between the stages of a cascade, whose output feeds several later plans:
-    without it every later stage would recompute all earlier ones. The data lives
-    in reliable storage, so it survives the loss of executors.
+    Used where an intermediate result feeds several later joins: without it each of them
+    would compute it again. The table lives in shared storage, so it survives the loss of
+    executors; being Parquet, later reads take only the columns they need and its known
+    size lets the optimizer choose the join.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shelf-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("compare", "standardize", "reports")
+MODULES = ("compare", "standardize", "reports", "matching")
 
 
 def load_registry():
