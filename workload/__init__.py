@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("compare", "standardize", "reports", "matching", "resolve")
+MODULES = ("compare", "standardize", "reports", "matching", "resolve", "pricing")
 
 
 def load_registry():
