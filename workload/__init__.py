@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("compare", "standardize", "reports", "matching", "resolve", "pricing", "sources")
+MODULES = ("compare", "standardize", "reports", "matching", "resolve", "pricing", "sources", "plans")
 
 
 def load_registry():
