@@ -37,7 +37,7 @@ def read_records(spark: SparkSession, path: str, record: StructType, field: str
     Each file is one document, so files are the unit of parallelism. The whole document is parsed
     once per shape it could have; exactly one of them yields rows.
     """
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.trim("value").alias("doc"), F.col("_metadata.file_path").alias("source_file"))
     return explode_records(text, record, "doc", field)
 
