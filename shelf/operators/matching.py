@@ -379,7 +379,8 @@ def best_name_match(ref: DataFrame, cand: DataFrame, order: list[str], by: list[
     """Best listing by name, or by the better of name and alternate name.
 
     With ``key`` the listings were searched for the item. Without a shared key, listings that
-    share at least one word with the name are compared.
+    share at least one word with the name are compared; ``token_jaccard`` is the metric for large
+    inputs there (see ``_share_a_word``), and with it items without a match report score 0.
     """
     by = list(by or [])
     names = ["name"] + ([alt] if alt else [])
@@ -395,7 +396,9 @@ def best_name_match(ref: DataFrame, cand: DataFrame, order: list[str], by: list[
         words = reduce(F.array_union, [text.words(F.col(f"_n{i}")) for i in range(len(names))])
         c = _collapse(cand.select(*by, *own, *PAYLOAD, *[o for o in order if o not in PAYLOAD]),
                       [*by, "c_name"], order)
-        pairs = _share_a_word(p.withColumn("_words", words), c.withColumn("c_words", text.words(F.col("c_name"))), by)
+        exact = len(names) == 1  # an alternate name has words of its own, so the bound is off
+        pairs = _share_a_word(p.withColumn("_words", words), c.withColumn("c_words", text.words(F.col("c_name"))), by,
+                              similarity if exact else "", min_score)
     scores = [name_similarity(similarity, F.col(f"_n{i}"), F.col("c_name")) for i in range(len(names))]
     score = F.greatest(*scores) if len(scores) > 1 else scores[0]
     best = _best(pairs.withColumn("score", score), profile, [F.col("c_order")])
@@ -406,12 +409,36 @@ def best_name_match(ref: DataFrame, cand: DataFrame, order: list[str], by: list[
                          nonzero(F.col("sp")))
 
 
-def _share_a_word(ref: DataFrame, cand: DataFrame, by: list[str]) -> DataFrame:
-    """Pairs with at least one common word, each pair once."""
-    left = ref.withColumn("_word", F.explode("_words"))
-    right = cand.withColumn("_word", F.explode("c_words"))
-    return (salted_join(left, right, [*by, "_word"])
-            .where(is_first_shared("_word", F.col("_words"), F.col("c_words"))).drop("_word"))
+def _share_a_word(ref: DataFrame, cand: DataFrame, by: list[str], similarity: str = "",
+                  min_score: float = 0.0) -> DataFrame:
+    """Pairs with at least one common word, each pair once.
+
+    With ``token_jaccard`` and a threshold only pairs that can reach it are formed: of a name with
+    n words at least ceil(t·n) must be shared, so one of its n − ceil(t·n) + 1 rarest words must be.
+    Both sides keep those rarest words as join keys, and a word found in most names is hardly ever
+    a key. No pair at or above the threshold is lost. The other metrics compare characters, which
+    no set of words bounds, so they meet on every word; hot words are spread by salting.
+    """
+    if similarity == "token_jaccard" and min_score > 0:
+        frequency = cand.select(*by, F.explode("c_words").alias("_word")).groupBy(*by, "_word").agg(F.count("*").alias("_n"))
+        left = _rarest(ref, frequency, by, "_words", min_score)
+        right = _rarest(cand, frequency, by, "c_words", min_score)
+    else:
+        left, right = ref.withColumn("_keys", F.col("_words")), cand.withColumn("c_keys", F.col("c_words"))
+    joined = salted_join(left.withColumn("_word", F.explode("_keys")), right.withColumn("_word", F.explode("c_keys")), [*by, "_word"])
+    return joined.where(is_first_shared("_word", F.col("_keys"), F.col("c_keys"))).drop("_word", "_keys", "c_keys")
+
+
+def _rarest(df: DataFrame, frequency: DataFrame, by: list[str], words: str, t: float) -> DataFrame:
+    """Adds the rarest words a pair at or above ``t`` must meet on, as ``_keys`` or ``c_keys``."""
+    out = "_keys" if words == "_words" else "c_keys"
+    name = "_query" if "_query" in df.columns else ("c_name" if words == "c_words" else "_n0")
+    key = [*by, name]
+    ranked = (df.select(*key, words).distinct().withColumn("_word", F.explode(words)).join(frequency, [*by, "_word"], "left")
+              .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word"))).alias("_r")))
+    # the small allowance keeps a product such as 0.55 · 20 from rounding up past a whole number
+    length = F.size("_r") - F.ceil(F.size("_r") * t - 1e-9).cast("int") + 1
+    return df.join(ranked.select(*key, F.slice(F.col("_r._word"), F.lit(1), length).alias(out)), key)
 
 
 # --- identifier first, then fuzzy -------------------------------------------------------------------
@@ -421,7 +448,8 @@ def id_then_fuzzy(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
     """Exact product id scores 1; the rest take the best listing found through shared words.
 
     Listings are found by their first three words; a reference row that finds none that way
-    looks at every listing it shares any word with. ``ref`` carries ``ref_product_id``.
+    looks at every listing it shares any word with. ``ref`` carries ``ref_product_id``. Use
+    ``token_jaccard`` on large inputs: only pairs that can reach ``min_score`` are then formed.
     """
     by = list(by or [])
     by_id = (cand.where(F.coalesce("product_id", F.lit("")) != "")
@@ -442,14 +470,19 @@ def id_then_fuzzy(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
     p = p.withColumn("_long", F.filter("_words", long_word))
     head_words = heads.select(*by, F.explode("c_heads").alias("_word")).distinct()
     indexed = (p.withColumn("_word", F.explode("_long")).join(head_words, [*by, "_word"], "left_semi")
-               .select(*profile).distinct())
-    near = salted_join(p.join(indexed, profile, "left_semi").withColumn("_word", F.explode("_long")),
-                       heads.withColumn("_word", F.explode("c_heads")), [*by, "_word"])
-    near = near.where(is_first_shared("_word", F.col("_long"), F.col("c_heads"))).drop("_word", "c_heads")
-    far = _share_a_word(p.join(indexed, profile, "left_anti"), c, by)
+               .select(*profile).distinct().withColumn("_indexed", F.lit(True)))
+    if similarity == "token_jaccard":
+        met = (_share_a_word(p.join(indexed, profile, "left"), heads, by, similarity, min_score - brand_bonus)
+               .where(F.col("_indexed").isNull() | F.arrays_overlap("_long", "c_heads")).drop("c_heads"))
+    else:
+        found = p.join(indexed, profile)
+        near = salted_join(found.withColumn("_word", F.explode("_long")), heads.withColumn("_word", F.explode("c_heads")), [*by, "_word"])
+        near = near.where(is_first_shared("_word", F.col("_long"), F.col("c_heads"))).drop("_word", "c_heads")
+        rest_p = p.join(indexed.drop("_indexed"), profile, "left_anti").withColumn("_indexed", F.lit(None).cast("boolean"))
+        met = near.unionByName(_share_a_word(rest_p, c, by))
     raw = name_similarity(similarity, F.col("_query"), F.col("c_name"))
     bonus = (F.col("_brand_low") != "") & F.contains(F.col("c_name"), F.col("_brand_low"))
-    pairs = (near.unionByName(far).withColumn("_raw", raw)
+    pairs = (met.withColumn("_raw", raw)
              .withColumn("score", F.when(bonus, F.least(F.lit(1.0), F.col("_raw") + brand_bonus))
                          .otherwise(F.col("_raw"))))
     best = _best(pairs, profile, [F.col("c_order")])
@@ -464,8 +497,12 @@ def id_then_fuzzy(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
 
 
 def top_candidates(ref: DataFrame, cand: DataFrame, n: int, order: list[str], by: list[str] | None = None,
-                   similarity: str = "ratcliff", brand_bonus: float = 0.1) -> DataFrame:
-    """The n most similar listings per item among those sharing a word with its brand and name."""
+                   similarity: str = "ratcliff", brand_bonus: float = 0.1, min_score: float = 0.0) -> DataFrame:
+    """The n most similar listings per item among those sharing a word with its brand and name.
+
+    With ``min_score`` listings below it (before the brand bonus) are left out; together with
+    ``token_jaccard`` that keeps common words from pairing everything with everything.
+    """
     by = list(by or [])
     r = (ref.withColumn("_brand", text.normalize_name(_text("brand")))
          .withColumn("_query", F.trim(F.concat_ws(" ", "_brand", text.normalize_name(_text("name"))))))
@@ -474,9 +511,13 @@ def top_candidates(ref: DataFrame, cand: DataFrame, n: int, order: list[str], by
     c = cand.select(*by, _payload().alias("own"), _arrival(order).alias("c_order"),
                     F.trim(F.concat_ws(" ", text.normalize_name(F.col("brand")),
                                        text.normalize_name(F.col("name")))).alias("c_name"))
-    c = c.where(F.col("c_name") != "").withColumn("c_words", text.words(F.col("c_name")))
+    # of listings with one name only the first n can be among the best n
+    same_name = Window.partitionBy(*by, "c_name").orderBy("c_order")
+    c = (c.where(F.col("c_name") != "").withColumn("_copy", F.row_number().over(same_name)).where(F.col("_copy") <= n).drop("_copy")
+         .withColumn("c_words", text.words(F.col("c_name"))))
     bonus = (F.col("_brand") != "") & F.contains(F.col("c_name"), F.col("_brand"))
-    pairs = (_share_a_word(p, c, by).withColumn("_raw", name_similarity(similarity, F.col("_query"), F.col("c_name")))
+    pairs = (_share_a_word(p, c, by, similarity, min_score)
+             .withColumn("_raw", name_similarity(similarity, F.col("_query"), F.col("c_name"))).where(F.col("_raw") >= min_score)
              .withColumn("score", F.when(bonus, F.least(F.lit(1.0), F.col("_raw") + brand_bonus)).otherwise(F.col("_raw"))))
     # the rank limit is applied before the shuffle as well as after it
     w = Window.partitionBy(*profile).orderBy(F.desc("score"), "c_order")

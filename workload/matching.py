@@ -196,6 +196,18 @@ def best_name_lookup(t: Tables):
     return m.best_name_match(a.refs(t), _listings(t), ORDER, similarity="levenshtein", min_score=0.55)
 
 
+@query(views="refs listings", sql=f"""
+WITH r AS (SELECT item_code, sp, {squeeze('name')} AS rn FROM refs), l AS (SELECT *, {squeeze('name')} AS cn FROM listings),
+names AS (SELECT DISTINCT rn FROM r), best AS (SELECT n.rn, l.*, {jac('n.rn', 'l.cn')} AS sc FROM names n JOIN l ON {jac('n.rn', 'l.cn')} >= 0.55),
+k AS (SELECT *, mrp AS cmrp FROM best QUALIFY row_number() OVER (PARTITION BY rn ORDER BY sc DESC, product_id) = 1),
+d AS (SELECT r.item_code, r.sp AS rsp, k.* EXCLUDE (rn), CASE WHEN sc IS NOT NULL THEN 'matched' ELSE 'no_name_score' END AS reason
+   FROM r LEFT JOIN k USING (rn))
+SELECT item_code, reason, {r3('coalesce(sc, 0)')} AS score, {OWN},
+  CASE WHEN reason = 'matched' THEN {diff2('price', 'rsp')} END AS price_diff_pct FROM d""")
+def best_name_lookup_words(t: Tables):
+    return m.best_name_match(a.refs(t), _listings(t), ORDER, similarity="token_jaccard", min_score=0.55)
+
+
 @query(views="refs listings", sql=f"""
 WITH l AS (SELECT *, CASE WHEN platform = 'p0' THEN CAST(source_item AS VARCHAR) END AS pid,
              {sql_norm("brand || ' ' || name || ' ' || unit")} AS cn FROM listings),
@@ -207,9 +219,9 @@ lw AS (SELECT *, string_split(cn, ' ') AS cw, list_filter(string_split(cn, ' ')[
 rw AS (SELECT *, string_split(q, ' ') AS w, list_filter(string_split(q, ' '), lambda w: length(w) >= 3) AS lng FROM rest),
 cnd AS (SELECT rw.q, rw.rb, lw.*, list_has_any(lng, heads) AS near FROM rw JOIN lw ON list_has_any(w, cw)),
 nr AS (SELECT *, bool_or(near) OVER (PARTITION BY q, rb) AS any_near FROM cnd),
-s AS (SELECT *, CASE WHEN rb <> '' AND contains(cn, rb) THEN least(1.0, {lev('q', 'cn')} + 0.1) ELSE {lev('q', 'cn')} END AS sc
+s AS (SELECT *, {jac('q', 'cn')} AS jc, CASE WHEN rb <> '' AND contains(cn, rb) THEN least(1.0, {jac('q', 'cn')} + 0.1) ELSE {jac('q', 'cn')} END AS sc
       FROM nr WHERE near OR NOT any_near),
-k AS (SELECT * FROM s WHERE sc > 0 QUALIFY row_number() OVER (PARTITION BY q, rb ORDER BY sc DESC, product_id) = 1),
+k AS (SELECT * FROM s WHERE sc > 0 AND jc >= 0.4 - 1e-12 QUALIFY row_number() OVER (PARTITION BY q, rb ORDER BY sc DESC, product_id) = 1),
 fz AS (SELECT r.item_code, r.sp, k.* EXCLUDE (q, rb) FROM r LEFT JOIN k USING (q, rb)
        WHERE rid IS NULL OR rid NOT IN (SELECT pid FROM l WHERE pid IS NOT NULL)),
 u AS (SELECT item_code, sp, product_id, name, brand, unit, price, mrp AS cmrp, sc, 'id_exact' AS method, 'matched' AS reason FROM x
@@ -222,19 +234,19 @@ def id_then_fuzzy(t: Tables):
     cand = (_listings(t).withColumn("seq", F.col("product_id"))
             .withColumn("product_id", F.when(F.col("platform") == "p0", F.col("source_item").cast("string"))))
     ref = a.refs(t).withColumn("ref_product_id", F.when(F.col("unit") == "kg", F.col("item_code").cast("string")))
-    return m.id_then_fuzzy(ref, cand, ["seq"], similarity="levenshtein")
+    return m.id_then_fuzzy(ref, cand, ["seq"], similarity="token_jaccard")
 
 
 @query(views="refs listings", sql=f"""
 WITH r AS (SELECT item_code, {sql_norm('brand')} AS rb, trim({sql_norm('brand')} || ' ' || {sql_norm('name')}) AS q FROM refs),
-l AS (SELECT *, trim({sql_norm('brand')} || ' ' || {sql_norm('name')}) AS cn FROM listings WHERE platform = 'p0'),
-s AS (SELECT q.*, l.*, CASE WHEN contains(cn, rb) THEN least(1.0, {lev('q', 'cn')} + 0.1) ELSE {lev('q', 'cn')} END AS sc
-  FROM (SELECT DISTINCT q, rb FROM r) q JOIN l ON list_has_any(string_split(q, ' '), string_split(cn, ' '))),
+l AS (SELECT *, trim({sql_norm('brand')} || ' ' || {sql_norm('name')}) AS cn FROM listings),
+s AS (SELECT q.*, l.*, CASE WHEN contains(cn, rb) THEN least(1.0, {jac('q', 'cn')} + 0.1) ELSE {jac('q', 'cn')} END AS sc
+  FROM (SELECT DISTINCT q, rb FROM r) q JOIN l ON {jac('q', 'cn')} >= 0.4),
 k AS (SELECT *, row_number() OVER (PARTITION BY q, rb ORDER BY sc DESC, product_id) AS rank FROM s QUALIFY rank <= 3)
 SELECT item_code, rank, {r3('sc')} AS score, product_id, name AS own_name, brand AS own_brand, unit AS own_unit, price AS own_price, mrp AS own_mrp
 FROM r JOIN k USING (q, rb)""")
 def top_candidates(t: Tables):
-    return m.top_candidates(a.refs(t), _listings(t).where("platform = 'p0'"), 3, ORDER, similarity="levenshtein")
+    return m.top_candidates(a.refs(t), _listings(t), 3, ORDER, similarity="token_jaccard", min_score=0.4)
 
 
 KEYED = ["platform", "pincode", "item_code"]
