@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelf.functions.numbers import round_to, total_of
 from shelf.functions.text import strip
+from shelf.operators.ordered import previous_value
 
 
 def ordinal(cols: list[str]) -> Column:
@@ -127,14 +128,11 @@ def demand_weight(df: DataFrame, value: str, part: list[str]) -> DataFrame:
 def changes(df: DataFrame, keys: list[str], order: list[str], price: str = "sp",
             status: str = "status") -> DataFrame:
     """Each snapshot row next to the previous one of its key: did price or status change?"""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    return (df.withColumn("previous_price", F.lag(price).over(w))
-            .withColumn("previous_status", F.lag(status).over(w))
-            .withColumn("price_changed",
-                        F.when(first, False).otherwise(~F.col("previous_price").eqNullSafe(F.col(price))))
-            .withColumn("status_changed",
-                        F.when(first, False).otherwise(~F.col("previous_status").eqNullSafe(F.col(status)))))
+    seen = previous_value(df, keys, order, F.struct(F.col(price).alias("price"), F.col(status).alias("status")), "_previous")
+    known = F.col("_previous").isNotNull()
+    return (seen.withColumn("previous_price", F.col("_previous.price")).withColumn("previous_status", F.col("_previous.status"))
+            .withColumn("price_changed", known & ~F.col("previous_price").eqNullSafe(F.col(price)))
+            .withColumn("status_changed", known & ~F.col("previous_status").eqNullSafe(F.col(status))).drop("_previous"))
 
 
 def mapping_stability(df: DataFrame, item: str = "item_code", product: str = "product_id") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from shelf.functions import text, units
 from shelf.functions.numbers import diff_pct, nonzero, round_to
-from shelf.functions.similarity import similarity as name_similarity
+from shelf.functions.similarity import similarity as name_similarity, words_jaccard
 from shelf.operators.blocking import cell, grid_width, is_first_shared, probes, salted_join
 from shelf.session import materialize
 
@@ -429,6 +429,13 @@ def _share_a_word(ref: DataFrame, cand: DataFrame, by: list[str], similarity: st
     return joined.where(is_first_shared("_word", F.col("_keys"), F.col("c_keys"))).drop("_word", "_keys", "c_keys")
 
 
+def _word_similarity(similarity: str, query: str) -> Column:
+    """Similarity of a pair whose word lists ``_words`` and ``c_words`` are at hand."""
+    if similarity == "token_jaccard":
+        return words_jaccard(F.col("_words"), F.col("c_words"))
+    return name_similarity(similarity, F.col(query), F.col("c_name"))
+
+
 def _rarest(df: DataFrame, frequency: DataFrame, by: list[str], words: str, t: float) -> DataFrame:
     """Adds the rarest words a pair at or above ``t`` must meet on, as ``_keys`` or ``c_keys``."""
     out = "_keys" if words == "_words" else "c_keys"
@@ -480,7 +487,7 @@ def id_then_fuzzy(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
         near = near.where(is_first_shared("_word", F.col("_long"), F.col("c_heads"))).drop("_word", "c_heads")
         rest_p = p.join(indexed.drop("_indexed"), profile, "left_anti").withColumn("_indexed", F.lit(None).cast("boolean"))
         met = near.unionByName(_share_a_word(rest_p, c, by))
-    raw = name_similarity(similarity, F.col("_query"), F.col("c_name"))
+    raw = _word_similarity(similarity, "_query")
     bonus = (F.col("_brand_low") != "") & F.contains(F.col("c_name"), F.col("_brand_low"))
     pairs = (met.withColumn("_raw", raw)
              .withColumn("score", F.when(bonus, F.least(F.lit(1.0), F.col("_raw") + brand_bonus))
@@ -517,7 +524,7 @@ def top_candidates(ref: DataFrame, cand: DataFrame, n: int, order: list[str], by
          .withColumn("c_words", text.words(F.col("c_name"))))
     bonus = (F.col("_brand") != "") & F.contains(F.col("c_name"), F.col("_brand"))
     pairs = (_share_a_word(p, c, by, similarity, min_score)
-             .withColumn("_raw", name_similarity(similarity, F.col("_query"), F.col("c_name"))).where(F.col("_raw") >= min_score)
+             .withColumn("_raw", _word_similarity(similarity, "_query")).where(F.col("_raw") >= min_score)
              .withColumn("score", F.when(bonus, F.least(F.lit(1.0), F.col("_raw") + brand_bonus)).otherwise(F.col("_raw"))))
     # the rank limit is applied before the shuffle as well as after it
     w = Window.partitionBy(*profile).orderBy(F.desc("score"), "c_order")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from shelf.functions.numbers import nonzero, round_to
 from shelf.functions.text import clean_text
@@ -15,7 +16,8 @@ HISTORY_PARTITION = ["date", "pincode"]
 def _replace_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
     """Replace exactly the partitions present in ``df``; the commit is per job, so a retry is safe."""
     # rows of one partition meet in a few tasks, spread by content so that a hot one is not one file
-    (df.repartition(*partition, F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    (df.repartition(*partition, F.pmod(F.xxhash64(*hashable), F.lit(16)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path))
 
 

@@ -301,11 +301,11 @@ def barcode_veto(t: Tables):
 WITH h AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN 1::UBIGINT << (i - 1) ELSE 0::UBIGINT END),
             lambda x, y: x | y) AS h FROM embeddings)
 SELECT a.vec_id AS item_code, b.vec_id AS product_id, bit_count(xor(a.h, b.h)) AS distance
-FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 12
+FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 16
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.h, b.h)), b.vec_id) = 1""")
 def hash_match(t: Tables):
     hashed = t.embeddings.select(F.col("vec_id").alias("product_id"), hashes.sign_hash(F.col("embedding")).alias("hash"))
-    return hashes.hash_match(hashed.withColumn("item_code", F.col("product_id")), hashed, ["product_id"])
+    return hashes.hash_match(hashed.withColumn("item_code", F.col("product_id")), hashed, ["product_id"], max_dist=16)
 
 
 @query(views="refs matches", sql="""SELECT item_code, name FROM refs WHERE item_code NOT IN (
