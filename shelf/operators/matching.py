@@ -145,7 +145,8 @@ def brand_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
     typed = (p.select(*profile, F.explode(text.words(F.col("_type"))).alias("_word"))
              .join(brand_words, [*brand_key, "_word"], "left_semi")
              .select(*profile).distinct().withColumn("_typed", F.lit(True)))
-    p = materialize(p.join(brands, brand_key, "left").join(typed, profile, "left"))
+    p = materialize(p.join(brands, brand_key, "left").join(typed, profile, "left")
+                    .withColumn("_type_words", text.words(F.col("_type"))))
 
     width = grid_width(*weight)
     anywhere = F.array(F.lit("*"))
@@ -161,9 +162,9 @@ def brand_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
 
     ratio = F.col("c_base") / F.col("_base")
     unweighted = F.col("_cell") == "*"
+    type_ok = F.col("_typed").isNull() | F.arrays_overlap("_type_words", "c_words")
     pairs = (salted_join(ref_cells, cand_cells, [*brand_key, "_cell"])
-             .where(F.col("_typed").isNull() | F.arrays_overlap(text.words(F.col("_type")), F.col("c_words")))
-             .where(unweighted | ratio.between(*weight))
+             .where((unweighted | ratio.between(*weight)) & type_ok)
              .withColumn("weight_diff", F.when(unweighted, 0.0).otherwise(F.abs(1 - ratio)))
              .withColumn("score", name_similarity(similarity, F.col("_name"), F.col("c_name"))))
     best = (_best(pairs, profile, [F.col("weight_diff"), F.col("c_order")])
@@ -267,8 +268,8 @@ def type_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[str
                  .withColumn("_mcell", F.when(F.col("_by_mrp"), cell(F.col("c_mrp"), m_width)).otherwise(off))
                  .where(F.col("_mcell").isNotNull()).drop("_by_mrp"))
     pairs = (salted_join(ref_keys, cand_keys, [*by, "_word", "_family", "_wcell", "_mcell"])
-             .where(type_ok & name_ok & ratio.between(*weight))
-             .where((F.col("_mrp") <= 0) | (mrp_diff <= mrp_tolerance_pct))
+             # the word joined on is a shared type word already; numbers are compared before lists
+             .where(ratio.between(*weight) & ((F.col("_mrp") <= 0) | (mrp_diff <= mrp_tolerance_pct)) & name_ok)
              .withColumn("mrp_diff", F.when(F.col("_mrp") > 0, mrp_diff).otherwise(0.0))
              .withColumn("weight_diff", F.abs(1 - ratio))
              .withColumn("score", name_similarity(similarity, F.col("_name"), F.col("c_name"))))
@@ -287,7 +288,7 @@ def type_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[str
                  .withColumn("_wcell", cell(F.col("c_base"), w_width)))
     in_cells = (failed.where(F.col("_base") > 0).withColumn("_word", F.explode("_anchors"))
                 .withColumn("_wcell", F.explode(probes(F.col("_base"), w_width))))
-    has_weight = (_semi(in_cells, by_weight, [*by, "_word", "_wcell"], type_ok & name_ok & weight_ok)
+    has_weight = (_semi(in_cells, by_weight, [*by, "_word", "_wcell"], weight_ok & name_ok)
                   .select(*profile).distinct())
 
     def flag(df: DataFrame, name: str) -> DataFrame:
