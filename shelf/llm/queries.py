@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import chat, decontaminate, pieces, pii, quality_rules, secret_scan, shards, token_counts, token_files
+from shelf.llm import chat, decontaminate, jaccard_join, pieces, pii, quality_rules, secret_scan, shards, token_counts, token_files
 from shelf.llm.spans import count_kind, joined, of_kinds
 from shelf.session import checkpoint_dir
 
@@ -78,6 +78,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "rules.base_failed", "rules.kept", F.round("rules.p_good", 6).alias("p_good"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     s = F.col("pii")
@@ -103,6 +107,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_sentencepiece, op3_token_counts, op4_secret_scan, op5_perspectives, op6_quality_rules,
-    op8_pii, op9_sharding, op10_decontaminate)}
+    op7_jaccard_join, op8_pii, op9_sharding, op10_decontaminate)}
 
 SQL: dict[str, str] = {}
