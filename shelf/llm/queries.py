@@ -101,12 +101,63 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("contamination")
     return found.select(
         "doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"),
-        F.array_join(F.transform(c["spans"], lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"))
+        F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_sentencepiece, op3_token_counts, op4_secret_scan, op5_perspectives, op6_quality_rules,
     op7_jaccard_join, op8_pii, op9_sharding, op10_decontaminate)}
 
-SQL: dict[str, str] = {}
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op5_perspectives": """
+WITH said AS (
+  SELECT DISTINCT conv_id AS c, CAST(turn AS BIGINT) AS t, coalesce(role, 'unknown') AS r,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') AS x
+  FROM conversations),
+placed AS (SELECT *, CAST(coalesce(floor(t / 64.0), -1) AS BIGINT) AS g FROM said),
+speakers AS (SELECT DISTINCT c, r AS speaker FROM said WHERE r <> 'system'),
+turns AS (
+  SELECT p.c, g, speaker, t, r, x, r = speaker AS own,
+         '<|im_start|>' || CASE WHEN r = speaker THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE 'user name=' || r END || chr(10) AS head,
+         x || '<|im_end|>' AS body
+  FROM placed p JOIN speakers s ON p.c IS NOT DISTINCT FROM s.c),
+offsets AS (
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY c, g, speaker ORDER BY t, r, x) AS BIGINT) - length(body) - 1 AS start FROM turns)
+SELECT c AS conv_id, g AS segment, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY t, r, x) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN start || ':' || (start + length(body)) END, ',' ORDER BY t, r, x), '') AS masks
+FROM offsets GROUP BY c, g, speaker""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({LOWERED.format("text")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.doc_id = e.x),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op10_decontaminate": f"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({LOWERED.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWERED.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS ws FROM documents),
+iw AS (
+  SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g
+  FROM (SELECT item_id, ws, CAST(least(len(ws), 10) AS BIGINT) AS n FROM item WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g
+  FROM doc, sizes),
+hit AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+}
