@@ -72,7 +72,7 @@ def enrich_geo(df: DataFrame, pincode: str = "pincode", dim: DataFrame | None =
                default: tuple[float, float] = geo.DEFAULT_POINT) -> DataFrame:
     """Adds lat/lng by two-digit postal prefix. ``dim`` has columns (prefix, lat, lng)."""
     if dim is None:
-        dim = df.sparkSession.createDataFrame(geo.postal_rows(), "prefix string, lat double, lng double")
+        dim = df.sparkSession.createDataFrame(geo.POSTAL_POINTS, "prefix string, lat double, lng double")
     prefix = F.substring(F.col(pincode).cast("string"), 1, 2)
     return (df.withColumn("_prefix", prefix).join(dim, F.col("_prefix") == F.col("prefix"), "left")
             .withColumn("lat", F.coalesce("lat", F.lit(default[0])))

@@ -30,28 +30,53 @@ def local_session(name: str = "shelf", cpus: int | str = "*", partitions: int =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a scratch folder serves a local master. On a cluster each executor would write
+    to a disk of its own, so there an unset folder is an error.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         if not configured:
+            if not is_local(context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             configured = tempfile.mkdtemp(prefix="shelf-checkpoint-")
-        spark.sparkContext.setCheckpointDir(configured)
-        current = spark.sparkContext.getCheckpointDir()
+        context.setCheckpointDir(configured)
+        current = context.getCheckpointDir()
     return current
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executor are one process (local-cluster is not local)."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder as Parquet and continue from the written table.
 
     Used where an intermediate result feeds several later joins: without it each of them
     would compute it again. The table lives in shared storage, so it survives the loss of
     executors; being Parquet, later reads take only the columns they need and its known
-    size lets the optimizer choose the join.
+    size lets the optimizer choose the join. ``delete_written`` removes the tables.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/shelf-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables written by this driver and not yet deleted.
+_WRITTEN: list[str] = []
+
+
+def delete_written(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote in this driver, once no result needs them; returns their number."""
+    jvm = spark.sparkContext._jvm
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

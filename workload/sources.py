@@ -140,19 +140,32 @@ def extract_names(t: Tables):
     return _names(t).select("page_id", "name", "method", "confidence", "methods_tried")
 
 
-@query(sql="""SELECT o_orderkey, o_totalprice AS price, method, confidence, methods_tried FROM (SELECT *,
- CASE o_orderstatus WHEN 'F' THEN 'json_ld' WHEN 'O' THEN 'meta_tags' ELSE 'html_regex' END AS method,
- CASE o_orderstatus WHEN 'F' THEN 0.9::DOUBLE WHEN 'O' THEN 0.85 ELSE 0.5 END AS confidence, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END AS methods_tried
- FROM orders WHERE o_totalprice BETWEEN 1 AND 50000)
-UNION ALL SELECT o_orderkey, NULL, 'no_price', 0, 4 FROM orders WHERE NOT o_totalprice BETWEEN 1 AND 50000""")
+@query(sql="""
+WITH o AS (SELECT o_orderkey, o_totalprice AS p, o_orderkey % 8 AS form FROM orders),
+v AS (SELECT *, form <> 5 AND form <> 7 AND p BETWEEN 1 AND 50000 AS ok FROM o)
+SELECT o_orderkey, CASE WHEN ok THEN p END AS price, CASE WHEN ok AND form IN (1, 3) THEN p + 10 END AS mrp,
+ CASE WHEN NOT ok THEN 'no_price' WHEN form < 2 THEN 'json_ld' WHEN form IN (2, 6) THEN 'meta_tags' WHEN form = 3 THEN 'dom_price' ELSE 'html_regex' END AS method,
+ CASE WHEN NOT ok THEN 0::DOUBLE WHEN form < 2 THEN 0.9 WHEN form IN (2, 6) THEN 0.85 WHEN form = 3 THEN 0.75 ELSE 0.5 END AS confidence,
+ CASE WHEN NOT ok THEN 4 WHEN form < 2 THEN 1 WHEN form IN (2, 6) THEN 2 WHEN form = 3 THEN 3 ELSE 4 END AS methods_tried FROM v""")
 def extract_prices(t: Tables):
-    price = F.col("o_totalprice").cast("string")
-    filler = F.repeat(F.lit("<i>x</i>"), 80)
-    html = (F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","offers":{"price":"'), price, F.lit('"}}</script>')))
-            .when(F.col("o_orderstatus") == "O", F.concat(F.lit('<meta property="product:price:amount" content="'), price, F.lit('">')))
-            .otherwise(F.concat(filler, F.lit('{"selling_price": '), price, F.lit("}"))))
-    pages = t.orders.select("o_orderkey", html.alias("html"))
-    return x.extract_fields(pages, x.price_strategies()).select("o_orderkey", "price", "method", "confidence", "methods_tried")
+    price, form = F.col("o_totalprice").cast("string"), F.col("o_orderkey") % 8
+    dearer = (F.col("o_totalprice") + 10).cast("string")
+    script = '<script data-x="1" type="application/ld+json">'
+    other = script + '{"@type":"Event","offers":{"price":"7"}}</script>'
+    pages = [
+        # a product in the second block, below other objects
+        F.concat(F.lit(other + script + '{"@graph":[{"@type":"WebSite"},{"mainEntity":{"@type":"Product","offers":[{"price":"'), price, F.lit('"}]}}]}</script>')),
+        F.concat(F.lit(script + '[{"@type":"ProductGroup","offers":{"lowPrice":"'), price, F.lit('","highPrice":'), dearer, F.lit("}}]</script>")),
+        F.concat(F.lit("<meta content='"), price, F.lit("' property='product:price:amount'>")),
+        F.concat(F.lit("<span>MRP ₹"), dearer, F.lit("</span><div class='a'> ₹ "), price, F.lit("</div>")),
+        F.concat(F.repeat(F.lit("<i>x</i>"), 80), F.lit('{"selling_price": '), price, F.lit("}")),
+        F.concat(F.lit(other), price),  # an event's price is no product's
+        F.concat(F.lit('<META NAME="x" PROPERTY="og:price:amount" CONTENT="'), price, F.lit('"/>')),
+        F.concat(F.lit('<script type="application/ld+json">{broken '), price, F.lit("</script>")),
+    ]
+    html = F.element_at(F.array(*pages), (form + 1).cast("int"))
+    rows = x.extract_fields(t.orders.select("o_orderkey", html.alias("html")), x.price_strategies())
+    return rows.select("o_orderkey", "price", "mrp", "method", "confidence", "methods_tried")
 
 
 @query(sql=f"""WITH {_PAGES}, h AS (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, * FROM e),

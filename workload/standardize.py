@@ -92,7 +92,7 @@ def canonicalize_labels(t: Tables):
     return s.canonicalize_labels(s.canonicalize_labels(f, "partial"), "status")
 
 
-_POINTS = ", ".join(f"('{p}', {lat}, {lng})" for p, lat, lng in geo.postal_rows())
+_POINTS = ", ".join(f"('{p}', {lat}, {lng})" for p, lat, lng in geo.POSTAL_POINTS)
 
 
 @query(views="cities", sql=f"""
