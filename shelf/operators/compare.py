@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelf.functions.numbers import round_to, total_of
 from shelf.functions.text import strip
 from shelf.operators.ordered import previous_value
+from shelf.session import materialize
 
 
 def ordinal(cols: list[str]) -> Column:
@@ -60,26 +61,30 @@ def cheapest(offers: DataFrame, order: list[str]) -> DataFrame:
             .withColumn("spread", F.col("highest_price") - F.col("cheapest_price")))
 
 
-def multi_platform(offers: DataFrame, order: list[str]) -> DataFrame:
-    """Offers of products sold on two or more platforms, the lowest price flagged."""
+def multi_platform(offers: DataFrame, order: list[str], by: tuple[str, ...] = ("pincode",)) -> DataFrame:
+    """Offers of products sold on two or more platforms of one city, the lowest price flagged.
+
+    ``by=()`` compares across cities.
+    """
     key = F.lower(strip(F.regexp_replace("product_name", r"\s+", " ")))
     last = (offers.withColumn("product_key", key).where(F.col("product_key") != "")
-            .groupBy("product_key", "platform")
+            .groupBy("product_key", *by, "platform")
             .agg(F.max_by(F.struct("sp", "mrp", "in_stock"), ordinal(order)).alias("o")))
-    all_platforms = Window.partitionBy("product_key")
-    return (last.select("product_key", "platform", "o.sp", "o.mrp", "o.in_stock")
+    all_platforms = Window.partitionBy("product_key", *by)
+    return (last.select("product_key", *by, "platform", "o.sp", "o.mrp", "o.in_stock")
             .withColumn("n_platforms", F.count("*").over(all_platforms))
             .withColumn("is_lowest", F.col("sp") == F.min("sp").over(all_platforms))
             .where(F.col("n_platforms") >= 2))
 
 
 def delta_vs_reference(ref: DataFrame, offers: DataFrame, key: str = "item_code",
-                       tolerance: float = 0.5) -> DataFrame:
-    """Best price over the platforms against the reference price, with a colour class.
+                       tolerance: float = 0.5, by: tuple[str, ...] = ("pincode",)) -> DataFrame:
+    """Best price over the platforms of a city against the reference price, with a colour class.
 
-    ``ref`` carries ``ref_sp`` and ``ref_mrp``; the SP counts, or the MRP where SP is missing or 0.
+    A row for every item of ``ref`` and every city of the offers; ``by=()`` takes the best price of
+    all cities. ``ref`` carries ``ref_sp`` and ``ref_mrp``; the SP counts, or the MRP where SP is missing or 0.
     """
-    best = (offers.groupBy(key)
+    best = (offers.groupBy(*by, key)
             .agg(F.min_by("platform", F.struct(F.col("sp").alias("p"), F.col("platform").alias("n"))
                           ).alias("best_platform"), F.min("sp").alias("best_price")))
     ref_price = F.coalesce(F.when(F.col("ref_sp") != 0, F.col("ref_sp")), F.col("ref_mrp"))
@@ -87,7 +92,12 @@ def delta_vs_reference(ref: DataFrame, offers: DataFrame, key: str = "item_code"
     colour = (F.when(F.col("best_price").isNull(), "missing").when(delta.isNull(), "no_reference")
               .when(delta < -tolerance, "cheaper").when(delta > tolerance, "costlier")
               .otherwise("same"))
-    return (ref.select(key, "ref_sp", "ref_mrp").join(best, key, "left")
+    items = ref.select(key, "ref_sp", "ref_mrp")
+    if by:
+        # cities are a small dimension: their list goes into each item's row
+        cities = offers.agg(F.array_sort(F.collect_set(F.struct(*by)))).scalar()
+        items = items.select("*", F.explode(cities).alias("_city")).select(key, "ref_sp", "ref_mrp", "_city.*")
+    return (items.join(best, [*by, key], "left")
             .withColumn("delta", delta).withColumn("colour", colour))
 
 
@@ -117,6 +127,8 @@ def demand_weight(df: DataFrame, value: str, part: list[str]) -> DataFrame:
     The totals are aggregated first and joined back, so that no task holds a whole partition.
     """
     if not part:
+        # the rows feed the total and the result: they are computed once
+        df = materialize(df)
         joined = df.withColumn("total_value", df.agg(total_of(F.col(value))).scalar())
     else:
         totals = df.groupBy(*part).agg(total_of(F.col(value)).alias("total_value"))

@@ -577,10 +577,11 @@ def residual(ref: DataFrame, matches: list[DataFrame], key: list[str]) -> DataFr
     return ref.join(done, key, "left_anti")
 
 
-def retry_set(ref: DataFrame, previous: DataFrame, key: list[str], weak: float = 0.6) -> DataFrame:
-    """Rows the previous stage did not match or matched weakly."""
+def retry_set(ref: DataFrame, previous: DataFrame, key: list[str], weak: float = 0.6, mapped: DataFrame | None = None) -> DataFrame:
+    """Rows the previous stage did not match or matched weakly, but for those that ``mapped`` already knows."""
     again = previous.where((F.col("reason") != "matched") | (F.col("score") < weak))
-    return ref.join(again.select(*key), key, "left_semi")
+    rows = ref.join(again.select(*key), key, "left_semi")
+    return rows if mapped is None else rows.join(mapped.select(*key), key, "left_anti")
 
 
 def build_mapping(sources: list[tuple[str, DataFrame]], by: list[str]) -> DataFrame:

@@ -26,15 +26,15 @@ def _zero(c: str) -> Column:
 # --- inputs -----------------------------------------------------------------------------------
 
 def benchmarks(offers: DataFrame, cities: DataFrame) -> DataFrame:
-    """Highest in-stock competitor price per state and item, as of the latest day with a price.
+    """Highest in-stock competitor price per state and item, over the latest price of each of its cities.
 
-    ``offers`` has (pincode, item_code, date, sp, in_stock), ``cities`` (pincode, state).
+    ``benchmark_date`` is the day of that price. ``offers`` has (pincode, item_code, date, sp, in_stock), ``cities`` (pincode, state).
     """
     sold = (offers.where(F.col("in_stock") & (F.col("sp") > 0))
             # one row per city and item before the state is looked up
             .groupBy("pincode", "item_code").agg(F.max(F.struct("date", "sp")).alias("b")))
     return (sold.join(cities.select("pincode", "state"), "pincode").groupBy("state", "item_code")
-            .agg(F.max("b").alias("b"))
+            .agg(F.max(F.struct("b.sp", "b.date")).alias("b"))
             .select("state", "item_code", F.col("b.date").alias("benchmark_date"), F.col("b.sp").alias("benchmark_sp")))
 
 

@@ -169,7 +169,8 @@ def review_queue(key_stage: DataFrame, brand_stage: DataFrame, type_stage: DataF
     rescued = type_stage.where((F.col("reason") == "matched") & (F.col("score") >= weak)).select(*key)
     second = later(brand_stage, 2).join(rescued, key, "left_anti")
     rows = first.unionByName(second).unionByName(later(type_stage, 3))
-    line = F.concat(F.lit("["), F.col("score").cast("string"), F.lit("] "), F.col("own_name"))
+    line = F.concat(F.lit("["), F.col("score").cast("string"), F.lit("] "), F.col("own_name"), F.lit(" ("),
+                    F.coalesce("own_unit", F.lit("-")), F.lit(", "), F.coalesce(round_to(F.col("own_price"), 2).cast("string"), F.lit("-")), F.lit(")"))
     texts = (candidates.groupBy(*key)
              .agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("c"))
              .select(*key, F.concat_ws("; ", F.col("c.line")).alias("top_candidates")))
@@ -188,8 +189,10 @@ def side_by_side(ref: DataFrame, own: DataFrame, key: list[str]) -> DataFrame:
                      .withColumn("within_10", F.coalesce(F.col("diff_pct") <= 10, F.lit(False))), "diff_pct")
 
 
-def city_price_table(catalogue: DataFrame, resolved: DataFrame, platforms: list[str]) -> DataFrame:
-    """The price sheet of a city: catalogue rows with url, name, unit, mrp, sp, stock, status per platform.
+def city_price_table(catalogue: DataFrame, resolved: DataFrame, platforms: list[str], pincodes: list[int]) -> DataFrame:
+    """The price sheets of cities: every catalogue row with url, name, unit, mrp, sp, stock, status per platform.
+
+    An item without an offer has a row in every city, with status NA.
 
     ``resolved`` is long: (pincode, platform, item_code, own_*, stock, url). Offers are guarded and
     classified in the long form, so one pass serves every platform, and then pivoted.
@@ -204,7 +207,9 @@ def city_price_table(catalogue: DataFrame, resolved: DataFrame, platforms: list[
     cols = []
     for p in platforms:
         for f in ("url", "name", "unit", "mrp", "sp", "stock"):
-            cols.append(F.col(f"`{p}`.{f}").alias(f"{p}_{f}"))
-        cols.append(F.coalesce(F.col(f"`{p}`.status"), F.lit("NA")).alias(f"{p}_status"))
-    return wide.select("pincode", "item_code", *cols).join(catalogue, "item_code")
+            cols.append(F.col(f"`_{p}`.{f}").alias(f"{p}_{f}"))
+        cols.append(F.coalesce(F.col(f"`_{p}`.status"), F.lit("NA")).alias(f"{p}_status"))
+    sheet = catalogue.withColumn("pincode", F.explode(F.array(*[F.lit(p) for p in pincodes])))
+    joined = sheet.join(wide.withColumnsRenamed({p: f"_{p}" for p in platforms}), ["pincode", "item_code"], "left")
+    return joined.select(*sheet.columns, *cols)
 

@@ -89,3 +89,58 @@ def test_price_strategies_in_order(spark):
     got = {r.i: (r.price, r.method, r.methods_tried) for r in extract.extract_fields(pages, extract.price_strategies()).collect()}
     assert got == {1: (99.0, "json_ld", 1), 2: (88.0, "meta_tags", 2), 3: (900.0, "dom_price", 3), 4: (12.5, "html_regex", 4),
                    5: (None, "no_price", 4), 6: (None, "no_price", 4)}
+
+
+def test_products_of_any_block_and_level(spark):
+    script = '<script id=1 type="application/ld+json">'
+    product = '{"@type":"Product","name":"Green tea","offers":{"price":"99","highPrice":"120"}}'
+    pages = [
+        f'{script}{{"@type":"WebSite"}}</script>{script}{product}</script>',
+        f'{script}{{"@graph":[{{"@type":"Event"}},{product}]}}</script>',
+        f'{script}{{"@type":"Event","offers":{{"price":"5"}}}}</script>',
+        "<meta content='77' property='og:price:amount'>",
+        "<span>MRP ₹120</span>",
+        "<b>₹ 50,000</b>",
+        f"{script}not json</script>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r.i: (r.price, r.mrp, r.method) for r in extract.extract_fields(df, extract.price_strategies()).collect()}
+    assert got == {0: (99.0, 120.0, "json_ld"), 1: (99.0, 120.0, "json_ld"), 2: (None, None, "no_price"), 3: (77.0, None, "meta_tags"),
+                   4: (120.0, None, "dom_price"), 5: (50000.0, None, "dom_price"), 6: (None, None, "no_price")}
+    names = extract.extract_fields(df, extract.name_strategies(), extract.valid_name, "name").where("i < 2").collect()
+    assert {(r["name"], r.method) for r in names} == {("Green tea", "json_ld")}
+
+
+def test_fields_fall_through_to_the_next_key(spark):
+    docs = [{"name": "x", "title": "Tea pack", "price": 10, "url": "javascript:1", "permalink": "/p/1", "brand": 7, "manufacturer": "Acme",
+             "image": "data:1", "images": [{"src": "http://i/1"}], "category": {"a": 1}, "type": "Tea"},
+            {"name": 5, "product_name": "Salt", "mrp": 3, "images": ["pic"]}, {"title": "y", "price": 1}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, payload string")
+    rows = {r.i: r for r in extract.explode_products(df, ["i"], "payload").collect()}
+    assert set(rows) == {0, 1}
+    assert (rows[0].product_name, rows[0].product_url, rows[0].brand, rows[0].image_url, rows[0].category) == ("Tea pack", "/p/1", "Acme", "http://i/1", "Tea")
+    assert (rows[1].product_name, rows[1].image_url, rows[1].brand) == ("Salt", "pic", "Salt")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from shelf import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    assert session.is_local("local[4]") and not session.is_local("local-cluster[2,1,1024]")
+
+
+def test_written_tables_can_be_deleted(spark):
+    from shelf.session import checkpoint_dir, delete_written, materialize
+
+    session_dir = checkpoint_dir(spark).removeprefix("file:")
+    df = materialize(spark.range(3))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+    assert df.count() == 3 and os.path.isdir(path) and session_dir
+    assert delete_written(spark) >= 1 and not os.path.exists(path)

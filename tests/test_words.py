@@ -87,3 +87,33 @@ def test_stages_of_the_full_run_are_disjoint_but_for_weak_rows(spark):
         if len(claimed) > 1:
             assert [s for s, _ in claimed] == [2, 3] and claimed[0][1] < 0.6
     assert len({s for c in stages.values() for s, _ in c}) >= 3
+
+
+def test_each_city_and_platform_is_matched_for_itself(spark):
+    by = ["platform", "pincode"]
+    ref, cand = make(spark, 30, 40, seed=3)[2:]
+    places = [("x", 1), ("x", 2), ("y", 1)]
+
+    def everywhere(df, some):
+        found = None
+        for platform, pincode in some:
+            part = df.withColumn("platform", F.lit(platform)).withColumn("pincode", F.lit(pincode))
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    refs, listings = everywhere(ref, places), everywhere(cand, places)
+    # item 1 was fetched on one platform in one city only
+    fetched = everywhere(ref.where("item_code = 1"), places[:1]).select(
+        *by, "item_code", F.lit("f").alias("product_id"), F.lit("n").alias("own_name"), F.lit(80.0).alias("own_price"), F.lit("ok").alias("status"))
+    pictures = refs.select(*by, "item_code", F.lit("none").alias("product_id"), F.col("item_code").cast("long").alias("hash"))
+    # every product is listed twice in each place
+    listed = listings.unionByName(listings.withColumn("ord", F.col("ord") + 1000))
+    seen = listed.select(*by, "product_id", "ord", F.col("ord").cast("long").alias("hash"))
+    rows = match_cascade(refs, fetched, listed, ["ord"], hashes=(pictures, seen), similarity="levenshtein", by=by).collect()
+    keys = [(r.platform, r.pincode, r.item_code, r.stage) for r in rows]
+    assert len(keys) == len(set(keys)) and any(r.stage == 5 for r in rows)
+    assert [(r.platform, r.pincode) for r in rows if r.stage == 1] == [("x", 1)]
+    alone = match_cascade(ref, fetched.drop(*by).limit(0), cand.unionByName(cand.withColumn("ord", F.col("ord") + 1000)), ["ord"],
+                          hashes=(pictures.where("platform = 'y'").drop(*by), seen.where("platform = 'y'").drop(*by)), similarity="levenshtein").collect()
+    got = {(r.item_code, r.stage, r.product_id) for r in rows if r.platform == "y"}
+    assert got == {(r.item_code, r.stage, r.product_id) for r in alone}

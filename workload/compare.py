@@ -36,26 +36,26 @@ def cheapest_platform(t: Tables):
 
 
 @query(views="offers", sql="""
-WITH last AS (SELECT lower(trim(regexp_replace(product_name, '\\s+', ' ', 'g'))) AS product_key, platform,
+WITH last AS (SELECT lower(trim(regexp_replace(product_name, '\\s+', ' ', 'g'))) AS product_key, pincode, platform,
                      sp, mrp, in_stock FROM offers
-  QUALIFY row_number() OVER (PARTITION BY lower(trim(regexp_replace(product_name, '\\s+', ' ', 'g'))), platform
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(regexp_replace(product_name, '\\s+', ' ', 'g'))), pincode, platform
                              ORDER BY o1 DESC, o2 DESC, o3 DESC, item_code DESC) = 1)
-SELECT *, count(*) OVER (PARTITION BY product_key) AS n_platforms,
-       sp = min(sp) OVER (PARTITION BY product_key) AS is_lowest
+SELECT *, count(*) OVER (PARTITION BY product_key, pincode) AS n_platforms,
+       sp = min(sp) OVER (PARTITION BY product_key, pincode) AS is_lowest
 FROM last QUALIFY n_platforms >= 2""")
 def multi_platform(t: Tables):
     return compare.multi_platform(a.offers(t), ORDER)
 
 
 @query(views="offers", sql="""
-WITH best AS (SELECT item_code, min(sp) AS best_price FROM offers WHERE in_stock GROUP BY 1),
-named AS (SELECT o.item_code, min(platform) AS best_platform, any_value(best_price) AS best_price
-          FROM offers o JOIN best b ON o.item_code = b.item_code AND o.sp = b.best_price AND in_stock GROUP BY 1),
-ref AS (SELECT p_partkey AS item_code, CASE WHEN p_size % 9 = 0 THEN 0 ELSE p_retailprice * 0.93 END AS ref_sp,
-               p_retailprice AS ref_mrp FROM part),
-d AS (SELECT ref.item_code, ref_sp, ref_mrp, best_platform, best_price,
+WITH best AS (SELECT pincode, item_code, min(sp) AS best_price FROM offers WHERE in_stock GROUP BY 1, 2),
+named AS (SELECT o.pincode, o.item_code, min(platform) AS best_platform, any_value(best_price) AS best_price
+          FROM offers o JOIN best b ON o.item_code = b.item_code AND o.pincode = b.pincode AND o.sp = b.best_price AND in_stock GROUP BY 1, 2),
+ref AS (SELECT pincode, p_partkey AS item_code, CASE WHEN p_size % 9 = 0 THEN 0 ELSE p_retailprice * 0.93 END AS ref_sp,
+               p_retailprice AS ref_mrp FROM part, (SELECT DISTINCT pincode FROM offers WHERE in_stock)),
+d AS (SELECT ref.pincode, ref.item_code, ref_sp, ref_mrp, best_platform, best_price,
              best_price - CASE WHEN ref_sp <> 0 THEN ref_sp ELSE ref_mrp END AS delta
-      FROM ref LEFT JOIN named USING (item_code))
+      FROM ref LEFT JOIN named USING (pincode, item_code))
 SELECT *, CASE WHEN best_price IS NULL THEN 'missing' WHEN delta < -0.5 THEN 'cheaper'
                WHEN delta > 0.5 THEN 'costlier' ELSE 'same' END AS colour FROM d""")
 def delta_vs_reference(t: Tables):

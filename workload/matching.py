@@ -241,12 +241,12 @@ def id_then_fuzzy(t: Tables):
 WITH r AS (SELECT item_code, {sql_norm('brand')} AS rb, trim({sql_norm('brand')} || ' ' || {sql_norm('name')}) AS q FROM refs),
 l AS (SELECT *, trim({sql_norm('brand')} || ' ' || {sql_norm('name')}) AS cn FROM listings),
 s AS (SELECT q.*, l.*, CASE WHEN contains(cn, rb) THEN least(1.0, {jac('q', 'cn')} + 0.1) ELSE {jac('q', 'cn')} END AS sc
-  FROM (SELECT DISTINCT q, rb FROM r) q JOIN l ON {jac('q', 'cn')} >= 0.4),
+  FROM (SELECT DISTINCT q, rb FROM r) q JOIN l ON {jac('q', 'cn')} > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY q, rb ORDER BY sc DESC, product_id) AS rank FROM s QUALIFY rank <= 3)
 SELECT item_code, rank, {r3('sc')} AS score, product_id, name AS own_name, brand AS own_brand, unit AS own_unit, price AS own_price, mrp AS own_mrp
 FROM r JOIN k USING (q, rb)""")
 def top_candidates(t: Tables):
-    return m.top_candidates(a.refs(t), _listings(t), 3, ORDER, similarity="token_jaccard", min_score=0.4)
+    return m.top_candidates(a.refs(t), _listings(t), 3, ORDER, similarity="token_jaccard")
 
 
 KEYED = ["platform", "pincode", "item_code"]
@@ -299,13 +299,17 @@ def barcode_veto(t: Tables):
 
 @query(sql="""
 WITH h AS (SELECT vec_id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN 1::UBIGINT << (i - 1) ELSE 0::UBIGINT END),
-            lambda x, y: x | y) AS h FROM embeddings)
+            lambda x, y: x | y) AS h FROM embeddings),
+i AS (SELECT vec_id, xor(h, (1::UBIGINT << (vec_id % 15)) - 1) AS h FROM h)
 SELECT a.vec_id AS item_code, b.vec_id AS product_id, bit_count(xor(a.h, b.h)) AS distance
-FROM h a JOIN h b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 16
+FROM i a JOIN h b ON a.vec_id + 1 <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 12
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.h, b.h)), b.vec_id) = 1""")
 def hash_match(t: Tables):
     hashed = t.embeddings.select(F.col("vec_id").alias("product_id"), hashes.sign_hash(F.col("embedding")).alias("hash"))
-    return hashes.hash_match(hashed.withColumn("item_code", F.col("product_id")), hashed, ["product_id"], max_dist=16)
+    # items see each picture with up to 14 bits changed, and know the next product as their own
+    seen = hashed.select(F.col("product_id").alias("item_code"), (F.col("product_id") + 1).alias("product_id"),
+                         F.col("hash").bitwiseXOR(F.expr("shiftleft(1L, cast(product_id % 15 as int)) - 1")).alias("hash"))
+    return hashes.hash_match(seen, hashed, ["product_id"])
 
 
 @query(views="refs matches", sql="""SELECT item_code, name FROM refs WHERE item_code NOT IN (
@@ -317,11 +321,13 @@ def residual(t: Tables):
 
 @query(views="refs matches", sql="""
 WITH s2 AS (SELECT item_code, max(score) AS score FROM matches WHERE stage = 2 GROUP BY 1)
-SELECT item_code, name FROM refs WHERE item_code IN (SELECT item_code FROM s2 WHERE score < 0.95)""")
+SELECT item_code, name FROM refs WHERE item_code IN (SELECT item_code FROM s2 WHERE score < 0.95)
+ AND item_code NOT IN (SELECT item_code FROM matches WHERE stage = 1 AND score >= 0.9)""")
 def retry_set(t: Tables):
     stage2 = (a.matches(t).where("stage = 2").groupBy("item_code").agg(F.max("score").alias("score"))
               .withColumn("reason", F.when(F.col("score") >= 0.7, "matched").otherwise("no_name_score")))
-    return m.retry_set(a.refs(t), stage2, ["item_code"], weak=0.95).select("item_code", "name")
+    mapped = a.matches(t).where("stage = 1 AND score >= 0.9")
+    return m.retry_set(a.refs(t), stage2, ["item_code"], weak=0.95, mapped=mapped).select("item_code", "name")
 
 
 @query(views="matches", sql="""

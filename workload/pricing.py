@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shelf.operators import pricing as p, reports
 from workload import adapters as a
-from workload.base import Tables, query
+from shelf.sources import tables
+from workload.base import Tables, query, scratch
 
 STATES = {"S0": "W0", "S1": "W1", "S2": "W2"}
 LAST = "QUALIFY row_number() OVER (PARTITION BY key ORDER BY o1 DESC, o2 DESC, o3 DESC) = 1"
@@ -34,9 +35,11 @@ V["in_tags"] = (("lines",), """SELECT key, CASE WHEN max(quantity) >= 49 THEN 'S
 FROM lines GROUP BY 1""")
 V["in_map_key"] = (("lines",), f"SELECT key, mrp * 0.75 AS map_price FROM lines WHERE o2 = 7 AND tax > 0.05 {LAST}")
 V["in_bench"] = (("offers",), """
-SELECT 'S' || CAST(pincode % 3 AS VARCHAR) AS state, item_code, date AS benchmark_date, max(sp * pack_size / 50) AS benchmark_sp
-FROM offers WHERE in_stock AND category <> 'ECONOMY' GROUP BY 1, 2, 3
-QUALIFY row_number() OVER (PARTITION BY state, item_code ORDER BY date DESC) = 1""")
+WITH city AS (SELECT pincode, item_code, date AS benchmark_date, max(sp * pack_size / 50) AS benchmark_sp
+  FROM offers WHERE in_stock AND category <> 'ECONOMY' GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY pincode, item_code ORDER BY date DESC) = 1)
+SELECT 'S' || CAST(pincode % 3 AS VARCHAR) AS state, item_code, benchmark_date, benchmark_sp FROM city
+QUALIFY row_number() OVER (PARTITION BY state, item_code ORDER BY benchmark_sp DESC, benchmark_date DESC) = 1""")
 V["in_sales"] = (("lines",), """
 WITH x AS (SELECT s.state, item_code, quantity, o2, mrp FROM lines JOIN (VALUES ('S0'), ('S1'), ('S2')) s(state) ON o2 = 1
   UNION ALL SELECT state, item_code, quantity, o2, mrp FROM lines WHERE o2 <> 1)
@@ -350,9 +353,11 @@ def staples_extract(t: Tables):
     return p.staples_extract(p.recommend_prices(base(t)).where("master_category = 'STPLS'")).select(*cols)
 
 
-@query(views="priced", sql="SELECT key, item_code, sp, rule_applied FROM priced WHERE state = 'S1'")
+@query(views="priced", sql="SELECT state, key, item_code, sp, rule_applied FROM priced")
 def prices_by_state(t: Tables):
-    return p.by_state(p.recommend_prices(base(t)), "S1").select("key", "item_code", "sp", "rule_applied")
+    path = scratch(t, "states")
+    tables.write_by_state(p.recommend_prices(base(t)).select("state", "key", "item_code", "sp", "rule_applied"), path)
+    return tables.read_table(t.spark, path).select("state", "key", "item_code", "sp", "rule_applied")
 
 
 @query(views="priced", sql="SELECT key, item_code, display_name, kvi_tag, mrp, sp FROM priced WHERE n_flags > 0")

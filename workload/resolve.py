@@ -156,7 +156,7 @@ _PICK = "QUALIFY row_number() OVER (PARTITION BY platform, item_code ORDER BY {0
 WITH k AS (SELECT * FROM matches WHERE stage = 1 {_PICK.format('o1, o2, o3')}),
 s2 AS (SELECT *, CASE WHEN status = 'ok' THEN 'matched' ELSE status END AS reason FROM matches WHERE stage = 2 {_PICK.format('o1, o2, o3')}),
 s3 AS (SELECT *, CASE WHEN status = 'ok' THEN 'matched' ELSE status END AS reason FROM matches WHERE stage = 3 {_PICK.format('o1, o2, o3')}),
-c AS (SELECT platform, item_code, string_agg('[' || CAST(CAST(round(CAST(score AS DECIMAL(28,8)), 3) AS DOUBLE) AS VARCHAR) || '] ' || own_name, '; ' ORDER BY rk) AS txt
+c AS (SELECT platform, item_code, string_agg('[' || CAST(CAST(round(CAST(score AS DECIMAL(28,8)), 3) AS DOUBLE) AS VARCHAR) || '] ' || own_name || ' (' || coalesce(own_unit, '-') || ', ' || coalesce(CAST(CAST(round(CAST(own_price AS DECIMAL(28,8)), 2) AS DOUBLE) AS VARCHAR), '-') || ')', '; ' ORDER BY rk) AS txt
   FROM (SELECT *, row_number() OVER (PARTITION BY platform, item_code ORDER BY score DESC, o1, o2, o3) AS rk FROM matches WHERE stage = 4) WHERE rk <= 3 GROUP BY 1, 2),
 rows AS (SELECT platform, item_code, 1 AS stage, CASE WHEN status = 'error' THEN 'stage1_error' WHEN status = 'no_price' THEN 'stage1_no_price' ELSE 'stage1_price_diff' END AS reason,
    own_name, own_price, price_diff_pct FROM k WHERE status IN ('error', 'no_price') OR price_diff_pct > 20
@@ -179,7 +179,7 @@ def review_queue(t: Tables):
 
     w = Window.partitionBy(*key).orderBy(F.desc("score"), *a.MATCH_ORDER)
     candidates = (rows.where("stage = 4").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-                  .select(*key, "rank", round_to(F.col("score"), 3).alias("score"), "own_name"))
+                  .select(*key, "rank", round_to(F.col("score"), 3).alias("score"), "own_name", "own_unit", "own_price"))
     return r.review_queue(stage(1).withColumnRenamed("status", "match_status"), stage(2), stage(3), candidates, key)
 
 
@@ -206,14 +206,15 @@ _SHEET = ", ".join(
     for p in P)
 
 
-@query(views="cards", sql=f"""
+@query(views="cards cities", sql=f"""
 WITH {GUARDED}, s AS (SELECT *, {STATUS} AS st FROM g QUALIFY row_number() OVER (PARTITION BY pincode, platform, item_code ORDER BY o1 DESC, o2 DESC, o3 DESC) = 1)
-SELECT pincode, item_code, p_brand AS brand, p_type AS product_type,
+SELECT cc.pincode, part.p_partkey AS item_code, p_brand AS brand, p_type AS product_type,
   p_name || CASE WHEN p_type = 'PROMO' THEN ' Loose' ELSE '' END AS name, CASE WHEN p_size < 20 THEN 'STPLS' ELSE 'FMCGF' END AS master_category,
   CASE WHEN p_size % 5 = 0 THEN 'kg' ELSE 'g' END AS unit, CASE WHEN p_size % 5 = 0 THEN p_size / 1000 ELSE CAST(p_size AS DOUBLE) END AS unit_value, p_retailprice AS mrp,
   {_SHEET.replace('coalesce(max(CASE', 'coalesce(max(CASE')}
-FROM (SELECT s.* REPLACE ({STATUS.replace("master_category = 'STPLS'", "p_size < 20")} AS st), p_brand, p_type, p_name, p_size, p_retailprice
-      FROM s JOIN part ON item_code = p_partkey) GROUP BY ALL""")
+FROM part CROSS JOIN (SELECT DISTINCT pincode FROM cities) cc
+LEFT JOIN (SELECT s.* REPLACE ({STATUS.replace("master_category = 'STPLS'", "p2.p_size < 20")} AS st)
+           FROM s JOIN part p2 ON item_code = p2.p_partkey) x ON x.item_code = part.p_partkey AND x.pincode = cc.pincode GROUP BY ALL""")
 def city_price_table(t: Tables):
     c = F.col
     key = ["pincode", "platform", "item_code"]
@@ -227,7 +228,8 @@ def city_price_table(t: Tables):
         F.when(size < 20, "STPLS").otherwise("FMCGF").alias("master_category"),
         F.when(size % 5 == 0, "kg").otherwise("g").alias("unit"),
         F.when(size % 5 == 0, size / 1000).otherwise(size.cast("double")).alias("unit_value"), c("p_retailprice").alias("mrp"))
-    return r.city_price_table(catalogue, resolved, P)
+    pincodes = [x.pincode for x in a.cities(t).select("pincode").distinct().collect()]  # a small dimension
+    return r.city_price_table(catalogue, resolved, P, pincodes)
 
 
 # --- quality ---------------------------------------------------------------------------------

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelf.operators import extract as x
-from shelf.session import checkpoint_dir
 from shelf.sources import feeds, tables
 from workload import adapters as a
-from workload.base import Tables, query
+from workload.base import Tables, query, scratch
 
 P = a.PLATFORMS
 
 
-def _scratch(t: Tables, name: str) -> str:
-    return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(views="feed", sql="""SELECT item_code, coalesce(nullif(sp, ''), nullif(mrp, '')) AS price, nullif(item_name, '') AS name, CAST(NULL AS VARCHAR) AS eta FROM feed""")
 def resolve_aliases(t: Tables):
     return feeds.resolve_aliases(a.feed(t), {"item_code": ["Item_Code", "item_code"], "price": ["sp", "mrp"], "name": ["item_name"], "eta": ["Eta"]})
@@ -49,7 +42,7 @@ def latest_snapshot(t: Tables):
 
 @query(views="live", sql="SELECT pincode, item_code, p0_sp, p1_sp FROM live WHERE pincode > 1 OR p0_sp IS NOT NULL")
 def write_live(t: Tables):
-    path = _scratch(t, "live")
+    path = scratch(t, "live")
     live = a.live(t).select("pincode", "item_code", "p0_sp", "p1_sp")
     tables.write_live(live, path)
     tables.write_live(live.where("pincode <= 1 AND p0_sp IS NOT NULL"), path)
@@ -58,7 +51,7 @@ def write_live(t: Tables):
 
 @query(views="offers", sql="SELECT date_trunc('year', date)::DATE AS date, pincode, item_code, platform, o1, o2, o3, sp FROM offers")
 def write_history(t: Tables):
-    path = _scratch(t, "history")
+    path = scratch(t, "history")
     rows = a.offers(t).select(F.trunc("date", "year").alias("date"), "pincode", "item_code", "platform", "o1", "o2", "o3", "sp")
     tables.write_history(rows, path)
     tables.write_history(rows.where("date >= DATE '2000-01-01'"), path)  # the same partitions again
