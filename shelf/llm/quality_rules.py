@@ -21,8 +21,6 @@ TRAIN_ROWS = 3000
 KEEP = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
 CHAR_NGRAMS = (2, 3, 4)
-#: Words whose features are kept by a Python worker, and the longest that are.
-CACHED, CACHED_LENGTH = 300_000, 64
 
 # Fixed values of the contract.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -30,6 +28,8 @@ SYMBOLS = b"#*$%&|<>"
 
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 PAIR = 0x9E3779B1
+#: Powers of an odd number modulo 2 ** 64, for the places of a word's bytes.
+POWERS = np.multiply.accumulate(np.full(64, 1_000_003, np.uint64))
 
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
@@ -63,35 +63,36 @@ def base_stats(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int
             repeated_words(ids, len(numbers)))
 
 
-def char_buckets(word: bytes) -> np.ndarray:
-    """Buckets of the character n-grams of a word, its ends marked."""
-    marked = b"\x02" + word + b"\x03"
-    return np.array([zlib.crc32(marked[i:i + n], n) & (BUCKETS - 1) for n in CHAR_NGRAMS for i in range(len(marked) - n + 1)], np.int64)
+def _bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """The upper bits of a multiplied hash, so that all its bits count; ``kind`` keeps n-grams of different lengths apart."""
+    return ((hashes + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a text: every word and word pair, and the mean of a word's character n-grams, per word of the text."""
-    counts: dict[int, float] = {}
-    known: dict[bytes, np.ndarray] = {}
-    share = 1.0 / max(1, len(words))
-    hashes = np.array([zlib.crc32(w) for w in words], np.int64)
-    for word in words:
-        if (buckets := known.get(word)) is None:
-            known[word] = buckets = char_buckets(word)
-        part = share / max(1, len(buckets))
-        for b in buckets.tolist():
-            counts[b] = counts.get(b, 0.0) + part
-    for b in np.concatenate([word_buckets(hashes), pair_buckets(hashes)]).tolist():
-        counts[b] = counts.get(b, 0.0) + share
-    return np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
-
-
-def word_buckets(hashes: np.ndarray) -> np.ndarray:
-    return hashes & (BUCKETS - 1)
+def buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all character n-grams of the words, their ends marked by a space, and of all words and word pairs."""
+    line = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    wide, inside = line.astype(np.uint64), line == 32
+    rolled, crossing, chars = wide, np.zeros(len(line), bool), []
+    for n in range(2, max(CHAR_NGRAMS) + 1):
+        rolled = rolled[:-1] * np.uint64(257) + wide[n - 1:]
+        crossing = crossing[:-1] | (inside[n - 2:-1] if n > 2 else False)
+        if n in CHAR_NGRAMS:
+            chars.append(_bucket(rolled[~crossing], n))
+    starts = np.flatnonzero(inside)[:-1] + 1
+    ends = np.flatnonzero(inside)[1:]
+    order = np.arange(1, len(line)) - np.repeat(starts, ends - starts + 1)
+    hashed = np.add.reduceat(wide[1:] * POWERS[order % len(POWERS)] * (~inside[1:]), starts - 1)
+    return np.concatenate(chars), np.concatenate([_bucket(hashed, 1), _bucket(hashed[:-1] * np.uint64(PAIR) + hashed[1:], 0)])
 
 
-def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes[:-1] * PAIR + hashes[1:]) >> 7) & (BUCKETS - 1)
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a text: character n-grams by their share of all, words and word pairs by the number of words."""
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    chars, whole = buckets(words)
+    index, place = np.unique(np.concatenate([chars, whole]), return_inverse=True)
+    shares = np.concatenate([np.full(len(chars), 1 / len(chars)), np.full(len(whole), 1 / len(words))])
+    return index.astype(np.int32), np.bincount(place, shares).astype(np.float32)
 
 
 @dataclass
@@ -107,28 +108,11 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-class Scorer:
-    """Margins of texts; what a word adds by its characters is computed once and kept."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def __call__(self, words: list[bytes]) -> float:
+    def margin(self, words: list[bytes]) -> float:
         if not words:
-            return self.model.bias
-        weights, known = self.model.weights, self.known
-        if len(known) > CACHED:
-            known.clear()
-        margins, hashes = np.empty(len(words)), np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            if (held := known.get(word)) is None:
-                buckets, h = char_buckets(word), zlib.crc32(word)
-                held = (float(weights[buckets].mean()) + float(weights[h & (BUCKETS - 1)]), h)
-                if len(word) <= CACHED_LENGTH:
-                    known[word] = held
-            margins[i], hashes[i] = held
-        total = margins.sum() + weights[pair_buckets(hashes)].sum(dtype=float)
-        return self.model.bias + total / len(words)
+            return self.bias
+        chars, whole = buckets(words)
+        return self.bias + float(self.weights[chars].mean(dtype=float) + self.weights[whole].sum(dtype=float) / len(words))
 
 
 def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
@@ -204,11 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def _make_rules(shared):
     model = shared.value if shared is not None else None
-    scorer = Scorer(model) if model is not None else None
 
     def apply(text: bytes | None) -> tuple:
         words = text.split() if text else []
-        return (*base_stats(text or b"", words), model.probability(scorer(words)) if scorer else None)
+        return (*base_stats(text or b"", words), model.probability(model.margin(words)) if model else None)
 
     return apply
 
