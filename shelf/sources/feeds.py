@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+from shelf.functions.numbers import fraction_or_null, number_or_null
 from shelf.session import materialize
 
 
@@ -20,17 +21,31 @@ def resolve_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.select(*[first_value(names).alias(out) for out, names in aliases.items()])
 
 
-def read_feed(spark: SparkSession, path: str, aliases: dict[str, list[str]], sep: str = ",") -> DataFrame:
+def read_feed(spark: SparkSession, path: str, aliases: dict[str, list[str]], sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A delimited text feed with a header; all values stay text.
 
-    A byte-order mark is dropped, quoted separators and line breaks are kept. Only the columns
-    that an alias names are parsed.
+    A byte-order mark is dropped and quoted separators are kept. Only the columns that an alias
+    names are parsed. Large files are split among tasks; with ``multi_line`` quoted line breaks are
+    kept as well, and each file is read by one task.
     """
     raw = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-           .option("multiLine", True).option("encoding", "UTF-8").csv(path))
+           .option("multiLine", multi_line).option("encoding", "UTF-8").csv(path))
     return resolve_aliases(raw, aliases)
 
 
+def promo_values(feed: DataFrame, kind: str) -> DataFrame:
+    """Promotions of a text feed (key, pct, value, final, mrp) as fractions and amounts.
+
+    "10.64%" is a fraction of 0.1064. A missing value is the fraction of the MRP, and failing that
+    the final offer value. Rows without a key are left out.
+    """
+    amount = {c: F.coalesce(number_or_null(F.col(c)), F.lit(0.0)) for c in ("value", "final", "mrp")}
+    typed = feed.where(F.coalesce("key", F.lit("")) != "").withColumn("pct", F.coalesce(fraction_or_null(F.col("pct")), F.lit(0.0))).withColumns(amount)
+    worth = (F.when(F.col("value") != 0, F.col("value")).when((F.col("pct") > 0) & (F.col("mrp") > 0), F.col("mrp") * F.col("pct"))
+             .when(F.col("final") > 0, F.col("final")).otherwise(0.0))
+    return typed.select("key", F.col("pct").alias(f"{kind}_invoice_pct"), worth.alias(f"{kind}_invoice_value"))
+
+
 def read_records(spark: SparkSession, path: str, record: StructType, field: str = "records") -> DataFrame:
     """Records of JSON files: ``{field: [...]}``, a bare list, or an object keyed by id.
 

@@ -12,7 +12,7 @@ from shelf.streaming.ingest import ingest_stream
 
 def test_read_feed_with_bom_and_aliases(spark, tmp_path):
     (tmp_path / "feed.csv").write_text('﻿Key,MRP,Note\nk1,"1,200","a ""b"""\nk2,,x\n', encoding="utf-8")
-    rows = feeds.read_feed(spark, str(tmp_path / "feed.csv"), {"key": ["KEY", "Key"], "mrp": ["mrp", "MRP"], "none": ["zzz"]}).collect()
+    rows = feeds.read_feed(spark, str(tmp_path / "feed.csv"), {"key": ["KEY", "Key"], "mrp": ["mrp", "MRP"], "none": ["zzz"]}, multi_line=True).collect()
     assert [(r.key, r.mrp, r.none) for r in rows] == [("k1", "1,200", None), ("k2", None, None)]
 
 
@@ -144,3 +144,16 @@ def test_written_tables_can_be_deleted(spark):
     import os
     assert df.count() == 3 and os.path.isdir(path) and session_dir
     assert delete_written(spark) >= 1 and not os.path.exists(path)
+
+
+def test_promotions_are_fractions_and_fall_back(spark):
+    rows = [("a", "10.64%", "", "9", "100"), ("b", "0.2", "5", "9", "100"), ("c", "", "", "₹ 9", "100"), ("d", "60%", None, None, ""), ("", "1%", "1", "1", "1")]
+    feed = spark.createDataFrame(rows, "key string, pct string, value string, final string, mrp string")
+    got = {r.key: (round(r.off_invoice_pct, 4), round(r.off_invoice_value, 2)) for r in feeds.promo_values(feed, "off").collect()}
+    assert got == {"a": (0.1064, 10.64), "b": (0.2, 5.0), "c": (0.0, 9.0), "d": (0.6, 0.0)}
+
+
+def test_one_line_feed_is_split(spark, tmp_path):
+    (tmp_path / "feed.csv").write_text("﻿k,v\n" + "".join(f'"k,{i}",{i}\n' for i in range(1000)), encoding="utf-8")
+    rows = feeds.read_feed(spark, str(tmp_path), {"k": ["k"], "v": ["v"]})
+    assert rows.count() == 1000 and rows.where("v = '7'").first().k == "k,7"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelf.operators import extract as x
 from shelf.sources import feeds, tables
+from shelf.streaming.ingest import ingest_stream as ingest_stream_of
 from workload import adapters as a
 from workload.base import Tables, query, scratch
 
@@ -112,6 +113,36 @@ def flatten_results(t: Tables):
     return feeds.flatten_results(results)
 
 
+@query(sql="""
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS key, l_discount AS off_invoice_pct,
+ CASE WHEN l_returnflag = 'R' THEN l_quantity WHEN l_discount > 0 THEN l_extendedprice * l_discount ELSE l_tax + 1 END AS off_invoice_value FROM lineitem""")
+def promo_feed(t: Tables):
+    """Written as quoted text in several files and read back."""
+    c, path = F.col, scratch(t, "promos")
+    text = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias(" Key"),
+        F.when(c("l_linenumber") > 3, F.concat(F.round(c("l_discount") * 100).cast("int").cast("string"), F.lit("%"))).otherwise(c("l_discount").cast("string")).alias("Offer %"),
+        F.when(c("l_returnflag") == "R", F.concat(F.lit("₹ "), c("l_quantity").cast("string"))).otherwise("").alias("Offer, Rs."),
+        (c("l_tax") + 1).cast("string").alias("Final"), c("l_extendedprice").cast("string").alias("MRP"))
+    text.write.option("header", True).option("escape", '"').csv(path)
+    aliases = {"key": ["KEY", "Key"], "pct": ["Offer %"], "value": ["Offer, Rs."], "final": ["Final"], "mrp": ["MRP"]}
+    return feeds.promo_values(feeds.read_feed(t.spark, path, aliases), "off")
+
+
+@query(views="offers", sql="""SELECT date, pincode, item_code, platform, sp FROM offers
+QUALIFY row_number() OVER (PARTITION BY date, pincode, item_code, platform ORDER BY o1 DESC, o2 DESC, o3 DESC, sp DESC) = 1""")
+def ingest_stream(t: Tables):
+    """Two landings of the offers, each merged as it arrives."""
+    source, target, state = (scratch(t, name) for name in ("landed", "history", "state"))
+    rows = a.offers(t).select(F.trunc("date", "year").alias("date"), "pincode", F.col("date").alias("day"), "item_code", "platform", "o1", "o2", "o3", "sp")
+    rows = rows.withColumn("at", F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("o1", "o2", "o3")], F.lpad(F.format_number("sp", 6), 20, "0")))
+    for early in (True, False):
+        part = rows.where((F.col("o1") % 2 == 0) == early)
+        part.write.mode("append").parquet(source)
+        ingest_stream_of(t.spark, source, rows.schema, target, state, ["date", "pincode", "day", "item_code", "platform"], "at").awaitTermination()
+    return tables.read_table(t.spark, target).select(F.col("day").alias("date"), "pincode", "item_code", "platform", "sp")
+
+
 # --- extraction -----------------------------------------------------------------------------------
 
 _H1 = "trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'))"
