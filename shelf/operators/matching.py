@@ -156,9 +156,10 @@ def brand_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
 
     ref_cells = p.where("_has_brand").withColumn("_cell", F.explode(
         F.when(F.col("_base") > 0, cells("_family", probes(F.col("_base"), width))).otherwise(anywhere)))
-    cand_cells = c.withColumn("_cell", F.explode(
-        F.when(F.col("c_base") > 0, F.concat(cells("c_family", F.array(cell(F.col("c_base"), width))), anywhere))
-        .otherwise(anywhere)))
+    # reference rows without a pack size meet every listing of their brand: only such brands list "*"
+    unsized = p.where("_has_brand AND NOT coalesce(_base > 0, false)").select(*brand_key).distinct()
+    cand_cells = (c.where(F.col("c_base") > 0).withColumn("_cell", cells("c_family", F.array(cell(F.col("c_base"), width)))[0])
+                  .unionByName(c.join(unsized, brand_key, "left_semi").select(*c.columns, F.lit("*").alias("_cell"))))
 
     ratio = F.col("c_base") / F.col("_base")
     unweighted = F.col("_cell") == "*"
