@@ -67,28 +67,33 @@ def _or_na(c: Column) -> Column:
     return F.coalesce(clean_text(c.cast("string")), F.lit("NA"))
 
 
-def wide_price_table(master: DataFrame, mappings: DataFrame, prices: DataFrame, platforms: list[str]) -> DataFrame:
+def wide_price_table(master: DataFrame, mappings: DataFrame, prices: DataFrame, platforms: list[str],
+                     by: tuple[str, ...] = ("pincode",)) -> DataFrame:
     """The wide all-text feed: 11 item columns and 12 per platform, ``NA`` for what is missing.
 
-    ``master`` has the base columns, ``mappings`` (item_code, platform, product_id, product_url, name,
-    status, method, factor), ``prices`` (item_code, platform, selling_price, mrp, in_stock, name); both
-    have one row per item and platform and are pivoted together in one aggregation.
+    ``master`` has the base columns, a row per item and city; ``mappings`` (item_code, platform, product_id,
+    product_url, name, status, method, factor) hold for all cities, ``prices`` (pincode, item_code,
+    platform, selling_price, mrp, in_stock, name) for one; ``by=()`` means prices without a city.
     """
-    key = ["item_code", "platform"]
     m = F.struct("product_url", "product_id", F.col("name").alias("m_name"), F.col("status").alias("m_status"), "method", "factor")
     p = F.struct("selling_price", "mrp", "in_stock", F.col("name").alias("p_name"))
-    both = mappings.select(*key, m.alias("m")).join(prices.select(*key, p.alias("p")), key, "full_outer")
-    sp, mrp = nonzero(F.col("p.selling_price")), nonzero(F.col("p.mrp"))
-    discount = round_to((1 - sp / mrp) * 100, 1)
-    status = F.coalesce(F.nullif("m.m_status", F.lit("")), F.when(F.col("p").isNotNull(), "Complete Match"))
-    values = [F.col("m.product_url"), F.col("m.product_id"), F.coalesce(F.nullif("m.m_name", F.lit("")), F.col("p.p_name")), F.lit("NA"),
-              F.col("p.mrp"), F.col("p.selling_price"), discount, F.lit("NA"), F.col("p.in_stock"), status, F.col("m.method"),
-              F.when(F.col("m").isNotNull(), F.coalesce("m.factor", F.lit("1"))).otherwise("1")]
-    offer = F.struct(*[_or_na(v).alias(f) for f, v in zip(WIDE_FIELDS, values)])
-    wide = both.select(*key, offer.alias("o")).groupBy("item_code").pivot("platform", platforms).agg(F.first("o"))
-    joined = master.join(wide, master["Item_Code"] == wide["item_code"], "left").drop(wide["item_code"])
-    defaults = {f: "1" if f == "Factor" else "NA" for f in WIDE_FIELDS}
-    columns = [F.coalesce(F.col(f"`{p}`.{f}"), F.lit(defaults[f])).alias(f"{p}_{f}") for p in platforms for f in WIDE_FIELDS]
+    mapped = (mappings.groupBy(F.col("item_code").alias("_m_item")).pivot("platform", platforms).agg(F.first(m))
+              .withColumnsRenamed({x: f"_m_{x}" for x in platforms}))
+    priced = (prices.groupBy(F.col("item_code").alias("_p_item"), *[F.col(b).alias(f"_p_{b}") for b in by])
+              .pivot("platform", platforms).agg(F.first(p)).withColumnsRenamed({x: f"_o_{x}" for x in platforms}))
+    same = [F.col("Item_Code") == F.col("_p_item"), *[F.col(b.capitalize()) == F.col(f"_p_{b}") for b in by]]
+    joined = master.join(mapped, F.col("Item_Code") == F.col("_m_item"), "left").join(priced, same, "left")
+
+    def values(platform: str) -> list[Column]:
+        mapping, offer = F.col(f"`_m_{platform}`"), F.col(f"`_o_{platform}`")
+        sp, mrp = nonzero(offer["selling_price"]), nonzero(offer["mrp"])
+        discount = round_to((1 - sp / mrp) * 100, 1)
+        status = F.coalesce(F.nullif(mapping["m_status"], F.lit("")), F.when(offer.isNotNull(), "Complete Match"))
+        return [mapping["product_url"], mapping["product_id"], F.coalesce(F.nullif(mapping["m_name"], F.lit("")), offer["p_name"]), F.lit("NA"),
+                offer["mrp"], offer["selling_price"], discount, F.lit("NA"), offer["in_stock"], status, mapping["method"],
+                F.coalesce(mapping["factor"], F.lit("1"))]
+
+    columns = [_or_na(v).alias(f"{p}_{f}") for p in platforms for f, v in zip(WIDE_FIELDS, values(p))]
     return joined.select(*[_or_na(F.col(c)).alias(c) for c in WIDE_BASE], *columns)
 
 

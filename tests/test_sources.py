@@ -65,7 +65,7 @@ def test_wide_table_has_47_columns(spark):
                                      "item_code string, platform string, product_id string, product_url string, name string, status string, method string, factor string")
     prices = spark.createDataFrame([("1", "x", 90.0, 100.0, "available", "n")],
                                    "item_code string, platform string, selling_price double, mrp double, in_stock string, name string")
-    row = tables.wide_price_table(master, mappings, prices, ["x", "y", "z"]).first()
+    row = tables.wide_price_table(master, mappings, prices, ["x", "y", "z"], by=()).first()
     assert len(row) == 47
     assert (row["x_Discount__"], row["x_Status"], row["x_Factor"], row["y_Selling_Price"]) == ("10.0", "Complete Match", "1", "NA")
 

@@ -79,29 +79,33 @@ def snapshot_at(t: Tables):
 _WIDE_SQL = ", ".join(f"""coalesce(max(CASE WHEN platform = '{p}' THEN url END), 'NA') AS {p}_Product_Url,
  coalesce(max(CASE WHEN platform = '{p}' THEN nm END), 'NA') AS {p}_Item_Name, coalesce(max(CASE WHEN platform = '{p}' THEN CAST(price AS VARCHAR) END), 'NA') AS {p}_Selling_Price,
  coalesce(max(CASE WHEN platform = '{p}' THEN CAST(CAST(round(CAST((1 - price / mrp) * 100 AS DECIMAL(28,8)), 1) AS DOUBLE) AS VARCHAR) END), 'NA') AS {p}_Discount__,
- coalesce(max(CASE WHEN platform = '{p}' THEN CASE WHEN tagged THEN 'Mapped' ELSE 'Complete Match' END END), 'NA') AS {p}_Status,
+ coalesce(max(CASE WHEN platform = '{p}' THEN CASE WHEN tagged THEN 'Mapped' WHEN price IS NOT NULL THEN 'Complete Match' END END), 'NA') AS {p}_Status,
  coalesce(max(CASE WHEN platform = '{p}' THEN '1' END), '1') AS {p}_Factor""" for p in P)
 
 
 @query(views="listings", sql=f"""
-WITH l AS (SELECT *, mrp > 950 AS tagged, CASE WHEN mrp > 950 THEN 'http://shop.example/' || product_id END AS url, CASE WHEN mrp > 950 THEN name || ' mapped' ELSE name END AS nm
- FROM (SELECT source_item, product_id, name, mrp, platform, floor(price) AS price FROM listings))
-SELECT CAST(p_partkey AS VARCHAR) AS Item_Code, p_name AS Item_Name, 'NA' AS Image_Link, {_WIDE_SQL}
-FROM part LEFT JOIN l ON source_item = p_partkey GROUP BY p_partkey, p_name""")
+WITH pr AS (SELECT pincode, item_code, platform, floor(min(sp)) AS price, max(mrp) AS mrp FROM offers GROUP BY 1, 2, 3),
+l AS (SELECT p_partkey, p_name, c.pincode, t.platform, coalesce(t.mrp > 950, false) AS tagged, CASE WHEN t.mrp > 950 THEN 'http://shop.example/' || product_id END AS url,
+   CASE WHEN t.mrp > 950 THEN t.name || ' mapped' WHEN pr.price IS NOT NULL THEN t.name END AS nm, pr.price, pr.mrp
+ FROM part CROSS JOIN (SELECT unnest(range(5)) AS pincode) c LEFT JOIN listings t ON t.source_item = p_partkey
+ LEFT JOIN pr ON pr.item_code = p_partkey AND pr.platform = t.platform AND pr.pincode = c.pincode)
+SELECT CAST(p_partkey AS VARCHAR) AS Item_Code, CAST(pincode AS VARCHAR) AS Pincode, p_name AS Item_Name, 'NA' AS Image_Link, {_WIDE_SQL}
+FROM l GROUP BY p_partkey, p_name, pincode""")
 def wide_price_table(t: Tables):
     c = F.col
-    listing = a.listings(t).withColumnRenamed("source_item", "item_code").withColumn("price", F.floor("price").cast("double"))
+    listing = a.listings(t).withColumnRenamed("source_item", "item_code")
     mappings = listing.where("mrp > 950").select(
         "item_code", "platform", "product_id", F.concat(F.lit("http://shop.example/"), c("product_id")).alias("product_url"),
         F.concat("name", F.lit(" mapped")).alias("name"), F.lit("Mapped").alias("status"), F.lit("seed").alias("method"), F.lit(None).cast("string").alias("factor"))
-    prices = listing.select("item_code", "platform", c("price").alias("selling_price"), "mrp", F.lit("available").alias("in_stock"), "name")
+    prices = (a.offers(t).groupBy("pincode", "item_code", "platform").agg(F.floor(F.min("sp")).cast("double").alias("selling_price"), F.max("mrp").alias("mrp"))
+              .join(listing.select("item_code", "platform", "name"), ["item_code", "platform"]).withColumn("in_stock", F.lit("available")))
     na = F.lit(None).cast("string")
-    master = t.part.select(na.alias("Date"), na.alias("City"), na.alias("Pincode"), c("p_partkey").alias("Item_Code"), c("p_name").alias("Item_Name"),
+    master = t.part.select(na.alias("Date"), na.alias("City"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("Pincode"), c("p_partkey").alias("Item_Code"), c("p_name").alias("Item_Name"),
                            c("p_brand").alias("Brand"), c("p_type").alias("Product_Type"), na.alias("Unit"), c("p_size").alias("Unit_Value"),
                            c("p_retailprice").alias("Mrp"), F.lit("nan").alias("Image_Link"))
     wide = tables.wide_price_table(master, mappings, prices, P)
     picked = [f"{p}_{f}" for p in P for f in ("Product_Url", "Item_Name", "Selling_Price", "Discount__", "Status", "Factor")]
-    return wide.select("Item_Code", "Item_Name", "Image_Link", *picked)
+    return wide.select("Item_Code", "Pincode", "Item_Name", "Image_Link", *picked)
 
 
 @query(views="offers", sql="""
