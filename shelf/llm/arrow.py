@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def row_udf(make: Callable[[], Callable[[Any], tuple]], schema: str, binary: bool = False) -> Callable[..., Column]:
+def _arrays(batch: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The rows of a list column of numbers, as views of its values."""
+    values, bounds, there = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy(), batch.is_valid().to_numpy(zero_copy_only=False)
+    return (values[a:b] if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], there))
+
+
+def row_udf(make: Callable[[], Callable[[Any], tuple]], schema: str, binary: bool = False, numbers: bool = False) -> Callable[..., Column]:
     """A column function: ``make()`` runs once per task and returns a function from a value to a struct's fields.
 
     ``make`` is pickled to the executors, so it should be a partial of a module's function with
-    small arguments. With ``binary`` a string arrives as its UTF-8 bytes. Null arrives as None.
+    small arguments. With ``binary`` a string arrives as its UTF-8 bytes, with ``numbers`` an array of
+    numbers as one of numpy. Null arrives as None.
     """
     fields = StructType.fromDDL(schema)
     kind = to_arrow_type(fields)
@@ -31,8 +39,8 @@ def row_udf(make: Callable[[], Callable[[Any], tuple]], schema: str, binary: boo
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
         for batch in batches:
-            values = batch.cast(pa.binary()) if binary else batch
-            yield pa.array([apply(v.as_py()) for v in values], type=kind)
+            values = _arrays(batch) if numbers else (v.as_py() for v in (batch.cast(pa.binary()) if binary else batch))
+            yield pa.array([apply(v) for v in values], type=kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, fields)

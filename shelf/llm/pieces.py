@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import ahocorasick
 import numpy as np
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelf.llm.arrow import bounded_batches, row_udf
+from shelf.llm.recent import Recent
 
 SPACE = "▁"
-CACHED, CACHED_LENGTH = 400_000, 64
+CACHED, CACHED_LENGTH, CACHED_PAIRS = 250_000, 64, 300_000
 
 
 class Vocabulary:
@@ -40,6 +43,13 @@ class Vocabulary:
         #: Neighbouring characters that some piece holds; between any other two every path has a boundary.
         self.inner = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         self._halves: dict[str, tuple[str, str] | None] = {}
+        self.automaton = ahocorasick.Automaton()
+        for piece in self.ids:
+            self.automaton.add_word(piece, (len(piece), piece))
+        self.automaton.make_automaton()
+        #: What ``stable`` has said, by left and right piece.
+        self.pairs: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self.n_pairs = 0
 
     def numbers(self, piece: str) -> list[int]:
         """The id of a piece, or those of a character's bytes."""
@@ -89,13 +99,65 @@ class Vocabulary:
                 lowest, right = score[ids[right]] - 0.5, halves_right[0]
 
 
-class _Node:
-    """A boundary that some path reaches: the piece before it and the boundary that one starts at."""
+def _extend(text: str, end: int, starts: list[int], base: int, tail: str, vocabulary: Vocabulary) -> None:
+    """Continue ``starts`` up to boundary ``end``: where the last piece of the best path to each boundary starts, -1 if none reaches it.
 
-    __slots__ = ("before", "piece", "at")
+    ``starts`` begins with boundary ``base``, which is its own start; ``tail`` is the piece before it.
+    """
+    ids, pairs, longest = vocabulary.ids, vocabulary.pairs, vocabulary.longest
+    for i in range(base + len(starts), end + 1):
+        found = -1
+        for start in range(base if i - longest < base else i - longest, i):
+            before = starts[start - base]
+            if before < 0:
+                continue
+            piece = text[start:i]
+            if piece not in ids and i - start > 1:
+                continue
+            left = text[before:start] if before < start else tail
+            if not left:
+                found = start
+                break
+            known = pairs[left]
+            if (stable := known.get(piece)) is None:
+                known[piece] = stable = vocabulary.stable(left, piece)
+                vocabulary.n_pairs += 1
+            if stable:
+                found = start
+                break
+        starts.append(found)
+
+
+def _pieces(text: str, starts: list[int], base: int, end: int) -> list[str]:
+    found = []
+    while (start := starts[end - base]) != end:
+        found.append(text[start:end])
+        end = start
+    return found[::-1]
 
-    def __init__(self, before: _Node | None, piece: str, at: int):
-        self.before, self.piece, self.at = before, piece, at
+
+def in_one_window(text: str, vocabulary: Vocabulary) -> list[str] | None:
+    """Pieces of a text so short that all of it is kept: the same search, each boundary's pieces named by an automaton.
+
+    None if a character is no piece of its own.
+    """
+    pairs, starts = vocabulary.pairs, [0] + [-1] * len(text)
+    follow: list[dict[str, bool] | None] = [None] * (len(text) + 1)  # what may follow the last piece of a boundary
+    for end, (size, piece) in vocabulary.automaton.iter(text):
+        end += 1
+        start = end - size
+        if starts[end] >= 0 or starts[start] < 0:
+            continue
+        if start:
+            known = follow[start]
+            if (stable := known.get(piece)) is None:
+                known[piece] = stable = vocabulary.stable(text[starts[start]:start], piece)
+                vocabulary.n_pairs += 1
+            if not stable:
+                continue
+        starts[end] = start
+        follow[end] = pairs[piece]
+    return _pieces(text, starts, 0, len(text)) if starts[-1] >= 0 else None
 
 
 def viterbi(text: str, vocabulary: Vocabulary) -> Iterator[str]:
@@ -104,53 +166,38 @@ def viterbi(text: str, vocabulary: Vocabulary) -> Iterator[str]:
     A segmentation is the merge order's own exactly if each two neighbours are stable, so a
     boundary is reached by a piece from an earlier boundary whose last piece it may follow, and
     every reachable boundary has one best path. Only boundaries within the longest piece of the
-    end can be extended: these are kept. When all their paths run through one boundary, the
-    pieces before it are given out and forgotten.
+    end can be extended. When all their paths run through one boundary, the pieces up to it are
+    given out, and of what lies before only the last piece is remembered.
     """
-    ids, longest = vocabulary.ids, vocabulary.longest
-    root = _Node(None, "", 0)
-    window: list[_Node | None] = [root]  # the node of boundary i - len(window) + 1 + k, None where none is reached
-    for i in range(1, len(text) + 1):
-        node = None
-        for start in range(max(0, i - longest), i):
-            before = window[start - i]
-            piece = text[start:i]
-            if before is None or (i - start > 1 and piece not in ids):
-                continue
-            if before.before is None and not before.piece or vocabulary.stable(before.piece, piece):
-                node = _Node(before, piece, i)
-                break
-        window.append(node)
-        if len(window) > longest:
-            del window[:len(window) - longest]
-        if i % longest == 0:
-            yield from _commit([n for n in window if n is not None])
-    end = window[-1]
-    yield from _path(end)
-
-
-def _commit(nodes: list[_Node]) -> list[str]:
-    """The pieces up to the boundary that all paths run through; its node becomes a root that remembers its piece."""
-    alive = {id(n): n for n in nodes}
-    while len(alive) > 1:
-        last = max(alive.values(), key=lambda n: n.at)
-        del alive[id(last)]
-        alive[id(last.before)] = last.before
-    meet = next(iter(alive.values()))
-    pieces = _path(meet)
-    meet.before = None
-    return pieces
-
-
-def _path(node: _Node) -> list[str]:
-    pieces = []
-    while node.before is not None:
-        pieces.append(node.piece)
-        node = node.before
-    return pieces[::-1]
-
-
-class Encoder(dict):
+    longest, starts, base, tail = vocabulary.longest, [0], 0, ""
+    for end in range(longest, len(text), longest):
+        _extend(text, end, starts, base, tail, vocabulary)
+        alive = {k for k in range(max(base, end - longest + 1), end + 1) if starts[k - base] >= 0}
+        while len(alive) > 1:
+            last = max(alive)
+            alive.discard(last)
+            alive.add(starts[last - base])
+        meet = alive.pop()
+        if starts[meet - base] != meet:
+            yield from _pieces(text, starts, base, meet)
+            tail = text[starts[meet - base]:meet]
+            starts, base = [meet, *starts[meet - base + 1:]], meet
+    _extend(text, len(text), starts, base, tail, vocabulary)
+    yield from _pieces(text, starts, base, len(text))
+
+
+class Coded(Recent):
+    """piece -> its ids as integers of the encoder's kind."""
+
+    def __init__(self, vocabulary: Vocabulary, kind: np.dtype):
+        super().__init__(CACHED, CACHED_LENGTH)
+        self.vocabulary, self.kind = vocabulary, kind
+
+    def make(self, piece: str) -> bytes:
+        return np.array(self.vocabulary.numbers(piece), self.kind).tobytes()
+
+
+class Encoder(Recent):
     """Words, with the space before them, to ids as little-endian integers.
 
     Where no piece holds two neighbouring characters all paths meet between them, so the parts on
@@ -159,22 +206,23 @@ class Encoder(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHED, CACHED_LENGTH)
         self.vocabulary = Vocabulary(path)
         self.kind = np.dtype("<u2" if len(self.vocabulary.raw) <= 1 << 16 else "<u4")
+        self.coded = Coded(self.vocabulary, self.kind)
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         inner = self.vocabulary.inner
         cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in inner]
         if cuts:
-            ids = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
-        else:
-            ids = np.array([i for piece in viterbi(word, self.vocabulary) for i in self.vocabulary.numbers(piece)], self.kind).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+            return b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)])])
+        if self.vocabulary.n_pairs > CACHED_PAIRS:
+            self.vocabulary.pairs.clear()
+            self.vocabulary.n_pairs = 0
+        found = in_one_window(word, self.vocabulary) if len(word) <= self.longest else None
+        if found is None:
+            found = viterbi(word, self.vocabulary)
+        return b"".join([self.coded[piece] for piece in found])
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -215,7 +263,7 @@ def _make_encode(path: str):
 
 def _make_decode(path: str):
     held = encoder(path)
-    return lambda ids: (None if ids is None else held.decode(np.array(ids, held.kind).tobytes()),)
+    return lambda ids: (None if ids is None else held.decode(ids.astype(held.kind).tobytes()),)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", count: str = "n_pieces") -> DataFrame:
@@ -233,4 +281,4 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "piece_id
 def decode(docs: DataFrame, model: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids: the text that was encoded, a "▁" in it read as a space. Null ids give null."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(out, row_udf(partial(_make_decode, model), "text string")(F.col(ids))["text"])
+    return docs.withColumn(out, row_udf(partial(_make_decode, model), "text string", numbers=True)(F.col(ids))["text"])

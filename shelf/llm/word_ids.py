@@ -9,7 +9,9 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED, CACHED_LENGTH = 400_000, 64
+from shelf.llm.recent import Recent
+
+CACHED, CACHED_LENGTH = 250_000, 64
 #: A word of Latin letters that the tokenizers' patterns take as one piece, and one stop after it that they take as another.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -34,7 +36,7 @@ def byte_level(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
-class WordIds(dict):
+class WordIds(Recent):
     """word -> its ids as little-endian integers, for tokenizers that drop white space and lower-case the rest.
 
     As no piece reaches over white space, the ids of a text are those of its words in turn. Plain
@@ -42,7 +44,7 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHED, CACHED_LENGTH)
         self.tokenizer = load(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
@@ -52,19 +54,14 @@ class WordIds(dict):
             return [t.id for t in pieces] + ([t.id for t in self.tokenizer.model.tokenize(match[2])] if match[2] else [])
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.ids_of(word), self.kind).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = ids
-        return ids
+    def make(self, word: str) -> bytes:
+        return np.array(self.ids_of(word), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
 
 
-class WordCounts(dict):
+class WordCounts(Recent):
     """word -> number of ids of a space and the word, for byte-level tokenizers that leave texts as they are.
 
     A text can be cut before any space that a character other than white space follows: the
@@ -72,21 +69,15 @@ class WordCounts(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHED, CACHED_LENGTH)
         self.tokenizer = load(path)
         self.tokenizer.encode_special_tokens = True
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, word: str) -> int:
+    def make(self, word: str) -> int:
         if match := PLAIN.fullmatch(word):
             model = self.tokenizer.model
-            n = len(model.tokenize(byte_level(" " + match[1]))) + (len(model.tokenize(match[2])) if match[2] else 0)
-        else:
-            n = self.whole(" " + word)
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = n
-        return n
+            return len(model.tokenize(byte_level(" " + match[1]))) + (len(model.tokenize(match[2])) if match[2] else 0)
+        return self.whole(" " + word)
