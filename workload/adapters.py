@@ -225,7 +225,8 @@ FROM (SELECT item_code, platform, product_name, brand, category, pack_size,
              min(sp) AS price, max(mrp) AS mrp FROM offers GROUP BY ALL)""")
 
 
-def listings(t: Tables) -> DataFrame:
+def listings(t: Tables, *by: str) -> DataFrame:
+    """``by``: further columns of the offers, each value of which has listings of its own."""
     c = F.col
     p = c("platform")
     size = c("pack_size").cast("string")
@@ -233,7 +234,7 @@ def listings(t: Tables) -> DataFrame:
              .when(p == "p1", F.concat(size, F.lit(" x 1000 g")))
              .otherwise(F.concat((c("pack_size") + 1).cast("string"), F.lit(" kg"))))
     large = F.concat(size, F.when(p == "p0", " g").when(p == "p1", "gm").otherwise(" ml"))
-    sold = (offers(t).groupBy("item_code", "platform", "product_name", "brand", "category", "pack_size")
+    sold = (offers(t).groupBy("item_code", "platform", *by, "product_name", "brand", "category", "pack_size")
             .agg(F.min("sp").alias("price"), F.max("mrp").alias("mrp")))
     return sold.select(
         (c("item_code") * 3 + F.when(p == "p0", 0).when(p == "p1", 1).otherwise(2)).alias("product_id"),
@@ -241,7 +242,7 @@ def listings(t: Tables) -> DataFrame:
         F.when(p == "p0", c("product_name")).when(p == "p1", F.concat("product_name", F.lit(" new")))
         .otherwise(F.concat(F.lit("The "), F.upper("product_name"))).alias("name"),
         F.when(p == "p1", F.lower("brand")).otherwise(c("brand")).alias("brand"), "category",
-        F.when(c("pack_size") > 25, large).otherwise(small).alias("unit"), "platform", "price", "mrp",
+        F.when(c("pack_size") > 25, large).otherwise(small).alias("unit"), "platform", *by, "price", "mrp",
         F.when(c("mrp") > 990, "8900000000").otherwise(
             (F.lit(8900000000) + c("item_code")).cast("string")).alias("barcode"))
 
