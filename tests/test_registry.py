@@ -26,3 +26,7 @@ def test_against_sql(spark, name):
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
+
+
+def test_delta_summary_counts_items_once(spark):
+    test_against_sql(spark, "delta_summary")

@@ -222,7 +222,8 @@ def delta_summary(t: Tables):
     ref = t.part.select(F.col("p_partkey").alias("item_code"), (F.col("p_retailprice") * 0.93).alias("ref_sp"),
                         F.col("p_retailprice").alias("ref_mrp"))
     found = a.offers(t).where("in_stock AND platform <> 'p2'")
-    deltas = compare.delta_vs_reference(ref, found)
+    # one best price of all cities, as in the SQL
+    deltas = compare.delta_vs_reference(ref, found, by=())
     return r.delta_summary(deltas.join(t.part.select(F.col("p_partkey").alias("item_code"),
                                                      F.col("p_brand").alias("brand")), "item_code"), ["brand"])
 
