@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import partial
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,15 @@ DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: What follows country and check digits, by its number of letters and digits.
+IBAN_REST = {n: re.compile(rb"(?:\x20?[A-Z0-9]){%d}(?![A-Za-z0-9])" % n) for n in range(11, 31)}
+#: The length of an IBAN that ISO 13616 fixes for each country.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: b"NO", 16: b"BE", 18: b"DK FI FK FO GL NL SD", 19: b"MK SI", 20: b"AT BA EE KZ LT LU MN XK", 21: b"CH HR LI LV",
+    22: b"BG BH CR DE GB GE IE ME RS VA", 23: b"AE GI IL IQ OM SO TL", 24: b"AD CZ ES MD PK RO SA SE SK TN VG", 25: b"LY PT ST",
+    26: b"IS TR", 27: b"BI DJ FR GR IT MC MR SM", 28: b"AL AZ BY CY DO GT HN HU LB NI PL SV", 29: b"BR EG PS QA UA",
+    30: b"JO KW MU YE", 31: b"MT SC", 32: b"LC", 33: b"RU"}.items() for country in countries.split()}
 #: Words near a span that speak for its kind, and the score before and after they are seen.
 CONTEXT = {
     "email": (b"mail", b"contact", b"write"),
@@ -66,6 +75,25 @@ def _emails(text: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def _ibans(text: bytes) -> list[tuple[int, int]]:
+    """A country's IBAN ends at its length, whatever follows. What no country's IBAN takes is searched for those of
+    countries without a length: they end at the last end of a word that the check allows."""
+    fixed, after = [], 0
+    for m in IBAN.finditer(text):
+        if m.start() >= after and (n := IBAN_LENGTHS.get(m[0][:2])) and (rest := IBAN_REST[n - 4].match(text, m.end())) and mod97(m[0] + rest[0]):
+            fixed.append((m.start(), after := rest.end()))
+    found = list(fixed)
+    for (_, low), (high, _) in pairwise([(0, 0), *fixed, (len(text), len(text))]):
+        after = low
+        for m in IBAN.finditer(text, low, high):
+            if m.start() >= after and m[0][:2] not in IBAN_LENGTHS:
+                for n in range(30, 10, -1):
+                    if (rest := IBAN_REST[n].match(text, m.end(), high)) and mod97(m[0] + rest[0]):
+                        found.append((m.start(), after := rest.end()))
+                        break
+    return sorted(found)
+
+
 def _digits(span: bytes) -> bytes:
     return span.translate(None, NOT_DIGITS)
 
@@ -80,7 +108,7 @@ def find_pii(text: bytes | None) -> list[tuple[str, int, int, float]]:
     found += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if b"+" in text:
         found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
-    found += [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
+    found += [("iban", *s) for s in _ibans(text)]
     return [(kind, start, end, _score(text, kind, start, end)) for kind, start, end in found]
 
 

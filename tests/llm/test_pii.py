@@ -51,6 +51,18 @@ def test_long_runs_take_linear_time():
         pii.find_pii(text.encode())
 
 
+def test_ibans_before_other_words():
+    plain, spaced, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    unlisted = "QQ" + str(98 - int("1" * 14 + "262600") % 97).zfill(2) + "1" * 14
+    for iban in (plain, spaced, other, unlisted):
+        for tail in ("", ".", " BIC COBADEFF", " 2024", " I", " 1", " 500 EUR", " AB12 CDEF", " AND SO ON", f" {other}", " DE89 3704"):
+            text = f"TO AB12 {iban}{tail}".encode()
+            got = [text[a:b].decode() for kind, a, b, _ in pii.find_pii(text) if kind == "iban"]
+            assert got == [iban] + [other] * (tail == f" {other}"), (text, got)
+    for text in (plain + "0", plain + "x", "X" + plain, plain[:-1], plain[:-1] + "1 BIC COBADEFF", "AB12 " * 9):
+        assert not [s for s in pii.find_pii(text.encode()) if s[0] == "iban"], text
+
+
 def test_checksums_context_masks_and_edges(spark):
     iban = "DE89 3704 0044 0532 0130 00"
     rows = [*enumerate([*TINY_TEXTS, f"é bank account {iban}.", "DE89 3704 0044 0532 0130 01", "call +49 30 123456 now", "mail a@b.de, a@b.de"]), (None, "x@y.org")]
