@@ -44,3 +44,17 @@ def row_udf(make: Callable[[], Callable[[Any], tuple]], schema: str, binary: boo
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, fields)
+
+
+def batch_udf(make: Callable[[], Callable[[list], list[tuple]]], schema: str) -> Callable[..., Column]:
+    """As ``row_udf`` for strings as UTF-8 bytes, but the function takes all values of a batch and returns their rows."""
+    fields = StructType.fromDDL(schema)
+    kind = to_arrow_type(fields)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        apply = make()
+        for batch in batches:
+            yield pa.array(apply(batch.cast(pa.binary()).to_pylist()), type=kind)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, fields)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelf.llm import chat, decontaminate, jaccard_join, pieces, pii, quality_rules, secret_scan, shards, token_counts, token_files
+from shelf.llm import (chat, decontaminate, jaccard_join, pieces, pii, quality_rules, ranked, runs, secret_scan, shards, token_counts, token_files,
+                       warc)
 from shelf.llm.spans import count_kind, joined, of_kinds
 from shelf.session import checkpoint_dir
 
@@ -104,9 +105,46 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(c["items"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))
 
 
+def with_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with a repeated stretch in one text of ten, dealt by its id's checksum; rows without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.withColumn("_h", h).withColumn("_g", F.floor(h / 10)).withColumn(
+        "_w", F.when(F.col("_h") % 10 == 0, F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")))
+    n = words.withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, (F.col("_g") % F.col("_n")).cast("int")))
+    rest = F.col("_n") - F.col("_a")
+    unit = n.withColumn("_p", (1 + F.floor(rest / (3 + F.col("_g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(again, F.lit(1), rest)), " ")
+    return unit.withColumn("text", F.when(F.col("_n") > 0, made).otherwise(F.col("text"))).select(docs.columns)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    r = F.col("repeats.runs")
+    longest = F.array_max(F.transform(r, lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.array_join(F.transform(r, lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size(r).cast("long").alias("n_runs"), longest.alias("l"), F.sha2(lines, 256).alias("runs_sha256"),
+                        F.sha2("repeats.collapsed", 256).alias("collapsed_sha256"))
+    return best.select(
+        "doc_id", "n_runs", (-F.col("l.start")).alias("start"), F.col("l.length").alias("length"), (-F.col("l.period")).alias("period"),
+        F.floor(1000 * F.col("l.length") / -F.col("l.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    return warc.resolved(records).select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_sentencepiece, op3_token_counts, op4_secret_scan, op5_perspectives, op6_quality_rules,
-    op7_jaccard_join, op8_pii, op9_sharding, op10_decontaminate)}
+    op7_jaccard_join, op8_pii, op9_sharding, op10_decontaminate, op11_periodic_runs, op12_ranked_search, op13_warc)}
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -160,4 +198,32 @@ ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
 SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op12_ranked_search": f"""
+WITH t AS (
+  SELECT rowid_ AS d, doc_id, unnest(regexp_extract_all({LOWERED.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)),
+tf AS (SELECT d, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+sizes AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY d),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*) AS k
+  FROM (SELECT item_id, unnest(regexp_extract_all({LOWERED.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+w AS (SELECT item_id, term, k, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM q JOIN df USING (term), total),
+m AS (SELECT d, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM sizes, total),
+s AS (
+  SELECT item_id, doc_id, d, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM w JOIN tf USING (term) JOIN m USING (d) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS INTEGER) >> CAST(5 * (3 - i % 4) AS INTEGER)) & 31), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)""",
 }
