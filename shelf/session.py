@@ -62,18 +62,24 @@ def materialize(df: DataFrame) -> DataFrame:
     size lets the optimizer choose the join. ``delete_written`` removes the tables.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/shelf-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "shelf")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables written by this driver and not yet deleted.
+#: Folders written by this driver and not yet deleted.
 _WRITTEN: list[str] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in shared storage for what is written and read back; ``delete_written`` removes it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def delete_written(spark: SparkSession) -> int:
-    """Delete the tables that ``materialize`` wrote in this driver, once no result needs them; returns their number."""
+    """Delete what this driver wrote to folders of ``scratch_path``, once no result needs it; returns their number."""
     jvm = spark.sparkContext._jvm
     n = len(_WRITTEN)
     while _WRITTEN:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelf.session import checkpoint_dir
+from shelf.session import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -39,7 +38,7 @@ REGISTRY: dict[str, Query] = {}
 
 def scratch(t: Tables, name: str) -> str:
     """A new folder for what a query writes and reads back."""
-    return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, name)
 
 
 def query(sql: str | None = None, views: str = "", name: str | None = None):
