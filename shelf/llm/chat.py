@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers that one rendered row covers: longer dialogues go on in further rows, so no row gathers without bound.
+from shelf.session import materialize
+
+#: Turns that one rendered row covers: longer dialogues go on in further rows, so no row gathers without bound.
 SEGMENT_TURNS = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: The role that sets the scene and is nobody's part.
@@ -17,22 +19,37 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit(OPEN), F.lit("<| im_start |>")), F.lit(CLOSE), F.lit("<| im_end |>"))
 
 
+def _ranked(said: DataFrame) -> DataFrame:
+    """``said`` (c, t, r, x) with the place ``n`` of each turn in its dialogue, from 0.
+
+    Turns are range-partitioned by dialogue and order, so a dialogue of very many turns spreads; they
+    are numbered within a partition, and the counts of the partitions before, a row each, are added.
+    """
+    placed = materialize(said.repartitionByRange("c", "t", "r", F.substring("x", 1, 32)).withColumn("part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("part", "c").orderBy(F.col("t").asc_nulls_first(), "r", "x")) - 1
+    counts = placed.groupBy("c", "part").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("c").alias("bc"), F.col("part").alias("bp"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    met = placed.withColumn("inside", inside).join(before, F.col("c").eqNullSafe(F.col("bc")) & (F.col("part") == F.col("bp")))
+    return met.select("c", "t", "r", "x", (F.col("before") + F.col("inside")).alias("n"))
+
+
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
            size: int = SEGMENT_TURNS) -> DataFrame:
-    """conv, segment, speaker, n_turns, rendered and masks, a row per participant and ``size`` turn numbers.
+    """conv, segment, speaker, n_turns, rendered and masks, a row per participant and ``size`` turns.
 
     The speaker's turns are rendered as the assistant's, those of the others as users of their
     name; the scene role stays what it is. ``masks`` are the [start, end) code points of the
     speaker's words with their closing marker: what a model is trained on.
 
-    Turns follow their number (nulls first, in segment -1), ties role and text. A row repeated in
-    all four columns is one turn; a null role speaks as "unknown", a null text is empty; a null
+    Turns follow their number (nulls first), ties role and text; the first ``size`` of them are segment 0, whatever
+    their numbers. A row repeated in all four columns is one turn; a null role speaks as "unknown", a null text is empty; a null
     conversation is one of its own. A dialogue without participants gives no rows.
     """
     said = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"),
                         F.coalesce(F.col(text), F.lit("")).alias("x")).distinct()
-    rows = said.withColumn("g", F.coalesce(F.floor(F.col("t") / size), F.lit(-1)).cast("long"))
-    parts = rows.groupBy("c", "g").agg(F.array_sort(F.collect_list(F.struct("t", "r", F.lit(0).alias("k"), "x"))).alias("turns"))
+    rows = _ranked(said).withColumn("g", F.floor(F.col("n") / size).cast("long"))
+    parts = rows.groupBy("c", "g").agg(F.array_sort(F.collect_list(F.struct("n", "r", "x"))).alias("turns"))
     speakers = rows.where(F.col("r") != SCENE).select("c", F.col("r").alias("speaker")).distinct()
     joined = parts.alias("p").join(speakers.alias("s"), F.col("p.c").eqNullSafe(F.col("s.c"))).select("p.c", "g", "speaker", "turns")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from functools import partial
@@ -14,45 +13,40 @@ from pyspark.sql import functions as F
 
 from shelf.llm.arrow import bounded_batches, row_udf
 from shelf.llm.spans import code_points
+from shelf.session import materialize
 
 WINDOW = 10
-#: Benchmark text that one automaton may hold; more goes to further automata, which read the text one after the other.
-AUTOMATON_BYTES = 64 * 1024 * 1024
+#: Bytes of windows that one automaton may hold; more goes to further automata, which read the texts one after the other.
+AUTOMATON_BYTES = 8 * 1024 * 1024
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SCHEMA = "n_words bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-
-_BUILT: dict[str, tuple] = {}
+SCHEMA = "n_words:bigint,hits:array<struct<first:bigint,last:bigint>>,items:array<string>,spans:array<struct<start:bigint,end:bigint>>"
 
 
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows_of(items: list[tuple[str, bytes]]) -> dict[bytes, tuple[int, list[str]]]:
-    """window -> (its number of words, the items that hold it); an item of fewer words is one window."""
-    found: dict[bytes, tuple[int, list[str]]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        n = min(len(words), WINDOW)
-        for i in range(len(words) - n + 1 if n else 0):
-            held = found.setdefault(b" ".join(words[i:i + n]), (n, []))[1]
-            if item not in held:
-                held.append(item)
-    return found
+def windows_of(text: bytes | None) -> tuple[list[bytes]]:
+    """The distinct windows of an item; one of fewer words is one window."""
+    words = normal_words(text or b"")
+    n = min(len(words), WINDOW)
+    return (list(dict.fromkeys(b" ".join(words[i:i + n]) for i in range(len(words) - n + 1))) if n else [],)
+
+
+def _make_windows():
+    return windows_of
 
 
-def _automaton(windows: dict[bytes, tuple[int, list[str]]], digest: str) -> ahocorasick.Automaton:
-    if digest not in _BUILT:
-        built = ahocorasick.Automaton()
-        for window, (n, items) in windows.items():
-            built.add_word(f" {window.decode('latin-1')} ", (n, items))
-        if windows:
-            built.make_automaton()
-        _BUILT[digest] = (built,)
-    return _BUILT[digest][0]
+def automaton_of(windows: dict[bytes, list[str]]) -> ahocorasick.Automaton:
+    built = ahocorasick.Automaton()
+    for window, items in windows.items():
+        built.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, items))
+    if windows:
+        built.make_automaton()
+    return built
 
 
 def scan(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple[int, list, list, list]:
@@ -80,18 +74,14 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple[int, lis
     return len(words), [tuple(m) for m in merged], sorted(items), [(at[places[a][0]], at[places[b][1]]) for a, b in merged]
 
 
-def _make(shared, digest: str):
-    automaton = _automaton(shared.value, digest)
-    return partial(scan, automaton=automaton)
+def _make(shared):
+    return partial(scan, automaton=automaton_of(shared.value))
 
 
-def _chunks(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items on the driver, in parts of about ``most`` bytes each."""
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-size // most))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(i, t.encode()) for i, t in items.where(part == k).collect()] for k in range(n)]
+def _windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(window, item) of all items, each pair once."""
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("t")).where("t IS NOT NULL")
+    return items.select("item", F.explode(row_udf(_make_windows, "w array<binary>", binary=True)("t")["w"]).alias("window")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -104,17 +94,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     item without words is never found; items of a null id are named "null"; rows of one item_id
     count as one item. A column named ``out`` is replaced; all rows and other columns stay.
 
-    The benchmark's size is measured first. Up to ``most`` bytes make one automaton, which is
-    broadcast; a larger benchmark makes several, each of bounded size, that read the text in turn.
+    The windows are made in Spark and their size is measured. Up to ``most`` bytes of them, with their
+    items' names, make one automaton, which is broadcast. More are dealt by hash to several, one at a
+    time in the driver and in a worker: each reads the texts in turn, and what it found is written before the next.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = []
-    for k, items in enumerate(_chunks(benchmark, item, item_text, most)):
-        windows = windows_of(items)
-        digest = hashlib.sha256(repr(sorted(windows.items())).encode()).hexdigest()
-        parts.append(row_udf(partial(_make, spark.sparkContext.broadcast(windows), digest), SCHEMA, binary=True)(F.col(text)))
-    found = docs.withColumn(out, F.array(*parts))
+    windows = materialize(_windows(benchmark, item, item_text))
+    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item"))).first()[0] or 0
+    parts = max(1, -(-size // most))
+    part = F.pmod(F.xxhash64("window", "item"), F.lit(parts))
+    found = docs.withColumn(out, F.array().cast(f"array<struct<{SCHEMA}>>"))
+    for k in range(parts):
+        held: dict[bytes, list[str]] = {}
+        for window, name in windows.where(part == k).select("window", "item").collect():  # ``most`` bytes, more or less
+            held.setdefault(bytes(window), []).append(name)
+        hit = row_udf(partial(_make, spark.sparkContext.broadcast(held)), SCHEMA, binary=True)(F.col(text))
+        found = found.withColumn(out, F.concat(out, F.array(hit)))
+        if k + 1 < parts:
+            found = materialize(found)
     ranges = F.array_sort(F.flatten(F.transform(out, lambda p: p["hits"])))
     # ranges of several automata may overlap: each word counts once
     covered = F.aggregate(ranges, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("to")), lambda s, r: F.struct(

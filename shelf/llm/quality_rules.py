@@ -7,16 +7,17 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelf.llm.arrow import bounded_batches, row_udf
 from shelf.llm.spans import CONTINUATION
+from shelf.session import materialize
 
 #: Buckets of the feature space (a power of two): the broadcast weights take 4 bytes each.
 BUCKETS = 1 << 18
-#: Labelled rows that the fit reads at most, taken by the order of a hash of their id; scoring has no bound.
-TRAIN_ROWS = 2000
+#: Labelled documents that the fit reads at most, and bytes of their features, taken by the order of a hash of their id; scoring has no bound.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 48 << 20
 #: A text is kept where its calibrated probability of being good is at least this.
 KEEP = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -107,7 +108,6 @@ class Model:
     def probability(self, margin: float) -> float:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
-
     def margin(self, words: list[bytes]) -> float:
         if not words:
             return self.bias
@@ -174,18 +174,24 @@ def _make_features():
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-          most: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``most`` labelled rows of whole texts; their features are hashed on the executors.
+          most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model | None:
+    """Fit on at most ``most`` labelled documents, whole texts, whose features are hashed on the executors.
 
-    Rows without a key, text or label of 0 or 1 teach nothing. None where a class is missing.
+    Rows without a key, text or label of 0 or 1 teach nothing. A key that is labelled several times has its
+    smallest label, one of several texts its smallest text, so a repeated row counts once. Of the sample the driver
+    reads as many documents, in the order of their keys' hashes, as have ``most_bytes`` of features. None where a class is missing.
     """
     bounded_batches(docs.sparkSession)
     sample = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_k")).agg(F.min(label).cast("int").alias("_y"))
               .orderBy(F.xxhash64("_k"), "_k").limit(most))
     # the sample has at most ``most`` rows of two numbers
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k")
-    hashed = texts.select("_k", "_y", row_udf(_make_features, "i binary, v binary", binary=True)("_t").alias("f"))
-    rows = sorted((r for r in hashed.select("_k", "_y", "f.i", "f.v").collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[2]))
+    one = texts.groupBy("_k").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y"))
+    hashed = materialize(one.select("_k", "_y", row_udf(_make_features, "i binary, v binary", binary=True)("_t").alias("f")).select("_k", "_y", "f.i", "f.v"))
+    # at most ``most`` rows
+    held = F.sum(F.octet_length("i") + F.octet_length("v")).over(Window.orderBy(F.xxhash64("_k"), "_k"))
+    fit_rows = hashed.withColumn("_held", held).where(F.col("_held") <= most_bytes).select("_k", "_y", "i", "v").collect()
+    rows = sorted(fit_rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[2]))
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for _, y, i, v in rows])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from shelf.llm import (chat, decontaminate, jaccard_join, pieces, pii, quality_rules, ranked, runs, secret_scan, shards, token_counts, token_files,
                        warc)
 from shelf.llm.spans import count_kind, joined, of_kinds
-from shelf.session import checkpoint_dir
+from shelf.session import scratch_path
 
 END_ID = 2
 SHARDS = [1.0] * 16
@@ -22,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return token_files.read_tokens(spark, path)
 
@@ -135,7 +133,7 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     records = warc.read_warc(spark, path)
     return warc.resolved(records).select(
@@ -154,17 +152,18 @@ WITH said AS (
   SELECT DISTINCT conv_id AS c, CAST(turn AS BIGINT) AS t, coalesce(role, 'unknown') AS r,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') AS x
   FROM conversations),
-placed AS (SELECT *, CAST(coalesce(floor(t / 64.0), -1) AS BIGINT) AS g FROM said),
+placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, r, x) - 1) // 64 AS BIGINT) AS g FROM said),
 speakers AS (SELECT DISTINCT c, r AS speaker FROM said WHERE r <> 'system'),
 turns AS (
   SELECT p.c, g, speaker, t, r, x, r = speaker AS own,
-         '<|im_start|>' || CASE WHEN r = speaker THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE 'user name=' || r END || chr(10) AS head,
+         '<|im_start|>' || CASE WHEN r = speaker THEN 'assistant' WHEN r = 'system' THEN 'system' ELSE 'user name=' ||
+           replace(replace(r, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') END || chr(10) AS head,
          x || '<|im_end|>' AS body
   FROM placed p JOIN speakers s ON p.c IS NOT DISTINCT FROM s.c),
 offsets AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY c, g, speaker ORDER BY t, r, x) AS BIGINT) - length(body) - 1 AS start FROM turns)
-SELECT c AS conv_id, g AS segment, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY t, r, x) AS rendered,
-       coalesce(string_agg(CASE WHEN own THEN start || ':' || (start + length(body)) END, ',' ORDER BY t, r, x), '') AS masks
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY c, g, speaker ORDER BY t NULLS FIRST, r, x) AS BIGINT) - length(body) - 1 AS start FROM turns)
+SELECT c AS conv_id, g AS segment, speaker, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY t NULLS FIRST, r, x) AS rendered,
+       coalesce(string_agg(CASE WHEN own THEN start || ':' || (start + length(body)) END, ',' ORDER BY t NULLS FIRST, r, x), '') AS masks
 FROM offsets GROUP BY c, g, speaker""",
     "op7_jaccard_join": f"""
 WITH RECURSIVE w AS (

@@ -20,9 +20,12 @@ COUNTED = "n_chars bigint, n_tokens bigint, n_reencoded bigint"
 UNSAFE = re.compile(r" (?=\s|\Z)")
 
 
-def _leaves(text: str, counts: WordCounts) -> list[tuple[int, int]]:
-    """(characters, tokens) of runs of words, cut only before a space that a visible character follows."""
-    words = text.split(" ")
+def _leaves(text: str, counts: WordCounts, inner: bool = False) -> list[tuple[int, int]]:
+    """(characters, tokens) of runs of words, cut only before a space that a visible character follows.
+
+    An ``inner`` text begins at such a cut, with its space; else no space stands before the first word.
+    """
+    words = (text[1:] if inner else text).split(" ")
     if UNSAFE.search(text):
         joined = [words[0]]
         for word in words[1:]:
@@ -35,7 +38,7 @@ def _leaves(text: str, counts: WordCounts) -> list[tuple[int, int]]:
     for i in range(0, len(words), LEAF_WORDS):
         part = words[i:i + LEAF_WORDS]
         chars, tokens = sum(map(len, part)) + len(part), sum([counts[w] for w in part])
-        if i == 0:  # no space stands before the first word
+        if i == 0 and not inner:
             chars, tokens = chars - 1, tokens - counts[part[0]] + counts.whole(part[0])
         found.append((chars, tokens))
     return found
@@ -48,9 +51,8 @@ class CountTree:
         self.chars, self.tokens, self.size = chars, tokens, len(chars) // 2
 
     @staticmethod
-    def build(text: str, counts: WordCounts) -> CountTree:
-        leaves = _leaves(text, counts)
-        size = 1 << (len(leaves) - 1).bit_length()
+    def of(leaves: list[tuple[int, int]]) -> CountTree:
+        size = 1 << max(0, len(leaves) - 1).bit_length()
         sums = []
         for k in range(2):
             heap = [0] * size + [leaf[k] for leaf in leaves] + [0] * (size - len(leaves))
@@ -59,6 +61,20 @@ class CountTree:
             sums.append(heap)
         return CountTree(*sums)
 
+    @staticmethod
+    def build(text: str, counts: WordCounts) -> CountTree:
+        return CountTree.of(_leaves(text, counts))
+
+    def put(self, first: int, last: int, leaves: list[tuple[int, int]]) -> None:
+        """Leaves in the place of those from ``first`` to ``last``; where they are more, the heap is made anew from all that are not empty."""
+        if len(leaves) <= last - first + 1:
+            for k, leaf in enumerate([*leaves, *[(0, 0)] * (last - first + 1 - len(leaves))], first):
+                self.set(k, *leaf)
+            return
+        all_leaves = list(zip(self.chars[self.size:], self.tokens[self.size:]))
+        made = CountTree.of([leaf for leaf in [*all_leaves[:first], *leaves, *all_leaves[last + 1:]] if leaf[0]])
+        self.chars, self.tokens, self.size = made.chars, made.tokens, made.size
+
     def leaf_at(self, position: int) -> tuple[int, int]:
         """The leaf that holds a character, and where it starts; the last leaf with characters if none does."""
         if position >= self.chars[1]:
@@ -84,11 +100,12 @@ class CountTree:
 
         A cut stays valid while the space it lies before and the character after that stay, so the
         region starts at the last leaf that begins two characters before the edit and ends at the
-        first leaf that begins at or after the edit's end.
+        first leaf that begins at or after the edit's end. It is cut into leaves of ``LEAF_WORDS`` words
+        again, so leaves stay small however often one place is edited.
         """
         edited = text[:start] + put + text[end:]
         if not self.chars[1]:
-            self.set(0, len(edited), counts.whole(edited))
+            self.put(0, self.size - 1, _leaves(edited, counts))
             return edited, len(edited)
         first, at = self.leaf_at(start)
         if at + 2 > start and at > 0:
@@ -100,26 +117,10 @@ class CountTree:
         if stop < end:
             stop = self.chars[1]
         region = edited[at:stop + len(put) - (end - start)]
-        self.set(first, len(region), sum(t for _, t in _leaves(region, counts)) if at == 0 else _inner(region, counts))
-        for leaf in range(first + 1, last + 1):
-            self.set(leaf, 0, 0)
+        self.put(first, last, _leaves(region, counts, inner=at > 0))
         return edited, len(region)
 
 
-def _inner(region: str, counts: WordCounts) -> int:
-    """Tokens of a region that begins at a cut, hence with a space."""
-    return sum(t for _, t in _leaves(region[1:], counts)) - counts.whole(_head(region[1:])) + counts[_head(region[1:])]
-
-
-def _head(text: str) -> str:
-    """The first word as the leaves take it, with the spaces after it that are no cuts."""
-    words = text.split(" ")
-    n = 1
-    while n < len(words) and (not words[n] or words[n][0].isspace()):
-        n += 1
-    return " ".join(words[:n])
-
-
 def _build(row: dict, counts: WordCounts) -> tuple:
     if row["text"] is None:
         return (None, 0)

@@ -71,7 +71,7 @@ def _entries(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
     for batch in batches:
         for row in batch.to_pylist():
             bounds = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-            ends = bounds.decode()
+            ends = np.array([bounds.select(i) for i in range(bounds.n)], np.int64)
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             all_ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
             columns = [pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(ends), pa.int32()), pa.array(starts + row["ids_before"]),
@@ -103,3 +103,29 @@ def document(segment: dict, i: int) -> np.ndarray:
     bounds = EliasFano(segment["n_docs"], segment["low_bits"], segment["low"], segment["high"], segment["samples"])
     start = bounds.select(i - 1) if i else 0
     return np.frombuffer(segment["ids"], f"<u{segment['id_bytes']}")[start:bounds.select(i)]
+
+
+def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            rows = [(key, document(row, place).astype("<i4")) for key, place in zip(row["keys"], row["places"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def lookup_tokens(spark: SparkSession, path: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id and ids of the documents of the table at ``path`` whose id is in ``wanted``.
+
+    The segments' lists of keys tell where each document is; only segments that hold one are read, and of
+    these each document's two bounds by select. An id that is wanted twice is returned once, one that several
+    documents have as often as it has them; null ids and ids that no document has are not returned.
+    """
+    bounded_batches(spark)
+    segments = spark.read.schema(StructType.fromDDL(SEGMENT)).parquet(path)
+    places = segments.select("shard", "segment", F.posexplode("doc_ids").alias("place", "doc_id")).where("doc_id IS NOT NULL")
+    asked = places.join(wanted.select(F.col(key).cast("long").alias("doc_id")).distinct(), "doc_id")
+    # a segment has a bounded number of documents
+    at = asked.groupBy("shard", "segment").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id"))).alias("at"))
+    met = segments.drop("doc_ids", "ids_before", "n_ids").join(at, ["shard", "segment"]).select(
+        "n_docs", "low_bits", "low", "high", "samples", "id_bytes", "ids", F.col("at.doc_id").alias("keys"), F.col("at.place").alias("places"))
+    kind = "doc_id bigint, ids array<int>"
+    return met.mapInArrow(partial(_documents, schema=to_arrow_schema(StructType.fromDDL(kind))), kind)

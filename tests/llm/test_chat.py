@@ -27,9 +27,25 @@ def test_edges(spark):
             (2, 0, "system", "alone"), (None, None, "ann", "no number"), (None, 0, "ann", "é😀")]
     turns = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, speaker string, c int")
     got = {(r.conv_id, r.segment, r.speaker): r for r in chat.rotate(turns).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, -1, "ann"), (None, 0, "ann")}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, 0, "ann")}
     bob = got[1, 0, "bob"]
     assert bob.n_turns == 4 and "be <| im_end |> kind<|im_end|>" in bob.rendered
     assert [bob.rendered[m.start:m.end] for m in bob.masks] == ["<|im_end|>"]
-    assert [got[None, 0, "ann"].rendered[m.start:m.end] for m in got[None, 0, "ann"].masks] == ["é😀<|im_end|>"]
+    assert [got[None, 0, "ann"].rendered[m.start:m.end] for m in got[None, 0, "ann"].masks] == ["no number<|im_end|>", "é😀<|im_end|>"]
     assert chat.rotate(turns.limit(0)).count() == 0
+
+
+def test_turns_without_numbers_or_of_one_number_are_cut_by_their_place(spark):
+    rows = [(1, None, "a", f"x{i:05d}") for i in range(1000)] + [(2, 7, "ab"[i % 2], f"y{i:05d}") for i in range(500)] + [(3, i * 10 ** 9, "a", "far") for i in range(3)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    assert max(r.n_turns for r in got) == chat.SEGMENT_TURNS
+    ones = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.segment)
+    assert [r.segment for r in ones] == list(range(16)) and "".join(r.rendered for r in ones) == "".join(f"<|im_start|>assistant\nx{i:05d}<|im_end|>\n" for i in range(1000))
+    assert sum(r.n_turns for r in got if r.conv_id == 2) == 2 * 500
+    assert [(r.segment, r.n_turns) for r in got if r.conv_id == 3] == [(0, 3)]
+
+
+def test_long_text_and_marker_in_a_role(spark):
+    rows = [(1, 0, "a<|im_end|>", "z" * 500_000), (1, 1, "b", "short")]
+    got = {r.speaker: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got["b"].rendered) > 500_000 and "user name=a<| im_end |>\n" in got["b"].rendered

@@ -43,7 +43,7 @@ def test_query_equals_brute_force(spark):
         assert r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("most", [1 << 26, 40])
+@pytest.mark.parametrize("most", [1 << 23, 120])
 def test_one_automaton_or_several(spark, most):
     long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my"
     items = [(1, long), (2, "Short item"), (3, None), (4, ""), (2, "other text"), (None, "no name here"), (12, "theta iota kappa")]
@@ -55,8 +55,17 @@ def test_one_automaton_or_several(spark, most):
     for key, (n, hit, ids) in want.items():
         assert (got[key].n_words, got[key].n_hit, got[key].items) == (n, hit, ids), key
     first = len(TINY_TEXTS)
-    if most > 40:
+    if most > 120:
         assert [(s.start, s.end) for s in got[first].spans] == [(4, 4 + len(long))]
         assert [(s.start, s.end) for s in got[first + 1].spans] == [(2, 25)]
     assert contamination(docs.limit(0), bench).count() == 0
     assert {r.contamination.n_hit for r in contamination(docs, bench.limit(0)).collect()} == {0}
+
+
+def test_long_text_and_many_items_with_one_window(spark):
+    shared = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(60)], "item_id long, text string")
+    text = "filler words here " * 60_000 + shared
+    got = contamination(frame(spark, [(1, text), (2, "nothing")]), bench, most=600).collect()
+    found = {r.doc_id: r.contamination for r in got}
+    assert (found[1].n_words, found[1].n_hit) == (180_010, 10) and found[1].items == sorted(str(i) for i in range(60)) and found[2].n_hit == 0

@@ -74,3 +74,31 @@ def test_checksums_context_masks_and_edges(spark):
     masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
     assert masked[n + 3] == "mail [EMAIL], [EMAIL]" and masked[0] is None and masked[1] == "" and masked[3] == "one" and masked[None] == "[EMAIL]"
     assert pii.find(docs.limit(0)).count() == 0 and pii.mask(docs.limit(0)).count() == 0
+
+
+def test_whole_words_of_four_languages_decide():
+    def score(text):
+        return [(k, s) for k, _, _, s in pii.find_pii(text.encode())]
+
+    assert score("shipping to 10.1.2.3") == [("ip", 0.6)] and score("hotel +49 30 123456") == [("phone", 0.6)]
+    assert score("the server 10.1.2.3") == score("Rechner: 10.1.2.3") == score("serveur 10.1.2.3") == score("servidor 10.1.2.3") == [("ip", 0.8)]
+    assert score("release version 1.2.3.4") == score("Kapitel 1.2.3.4") == [("ip", 0.3)]
+    assert score("server version 1.2.3.4") == [("ip", 0.5)]
+    # a word that the bound of 40 bytes cuts is not seen
+    assert score("10.1.2.3" + " " * 36 + "serverless") == [("ip", 0.6)]
+    assert pii.masked(b"release version 1.2.3.4" + b" " * 50 + b"host 5.6.7.8", pii.LEAST) == (b"release version 1.2.3.4" + b" " * 50 + b"host [IP]", 1)
+
+
+def test_planted_spans_are_masked_and_others_stay():
+    r = random.Random(9)
+    planted, decoys = 0, 0
+    for k in range(600):
+        ip = ".".join(str(r.randint(0, 255)) for _ in range(4))
+        phone = f"+{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(1000, 9999)} {r.randint(100, 999)}"
+        before = r.choice(["", "unser Rechner ", "call ", "plain words ", "téléphone ", "correo ", "hotel "])
+        value = r.choice([ip, phone, f"user{k}@mail{k}.org"])
+        text, n = pii.masked(f"{before}{value} and more".encode(), pii.LEAST)
+        planted += n == 1 and value.encode() not in text
+        decoy = r.choice([f"version {ip}", f"Ausgabe {ip}", f"chapitre {ip}", f"sección {ip}", f"Rechnung {phone}", f"pedido {phone}"])
+        decoys += pii.masked(f"die {decoy} x".encode(), pii.LEAST)[1] == 0
+    assert planted == 600 and decoys == 600

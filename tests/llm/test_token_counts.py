@@ -48,6 +48,20 @@ def test_random_edits_one_after_the_other():
             assert (tree.chars[1], tree.tokens[1]) == (len(text), count(text)), repr(text)
 
 
+def test_repeated_edits_in_one_place_stay_local():
+    count, counts = whole(), WordCounts(VOCABULARY)
+    text = " ".join(f"word{i} and some more" for i in range(8000))
+    tree, again = CountTree.build(text, counts), []
+    for k in range(400):
+        text, n = tree.replace(text, 70_000, 70_000, f" put{k} in here", counts)
+        again.append(n)
+    assert max(again) < 1000 and (tree.chars[1], tree.tokens[1]) == (len(text), count(text))
+    while len(text) > 100:  # and removals
+        text, n = tree.replace(text, 20, min(len(text), 9000), "", counts)
+        assert tree.chars[1] == len(text)
+    assert tree.tokens[1] == count(text)
+
+
 def test_edges(spark):
     rows = [*enumerate(TINY_TEXTS), (None, "no key")]
     edits = "array(struct(0 as start, 2 as end, 'ab ' as put), struct(1 as start, 9 as end, 'overlaps' as put), struct(-5 as start, 0 as end, 'x' as put), struct(cast(null as int) as start, 1 as end, 'y' as put), struct(99999 as start, 99999 as end, cast(null as string) as put))"

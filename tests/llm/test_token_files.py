@@ -56,3 +56,13 @@ def test_segments_and_edges(spark, tmp_path, monkeypatch):
     assert [i for s in segments for k in range(s["n_docs"]) for i in token_files.document(s, k).tolist()] == flat
     token_files.write_tokens(docs.limit(0), out + "0", VOCABULARY, 2)
     assert token_files.read_tokens(spark, out + "0").count() == 0
+
+
+def test_lookup_of_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_DOCS", 3)
+    rows, out = [*((i * 2, f"text number {i}") for i in range(40)), (10, "again"), (None, "x"), (81, "very long " * 60_000)], str(tmp_path / "ids")
+    token_files.write_tokens(frame(spark, rows).repartition(3), out, VOCABULARY, 2)
+    wanted = spark.createDataFrame([(10,), (10,), (81,), (3,), (None,), (0,)], "doc_id long")
+    got = sorted((r.doc_id, tuple(r.ids)) for r in token_files.lookup_tokens(spark, out, wanted).collect())
+    want = sorted((r.doc_id, tuple(r.ids)) for r in token_files.read_tokens(spark, out, ids=True).collect() if r.doc_id in (10, 81, 0))
+    assert got == want and len(got) == 4
