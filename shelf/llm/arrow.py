@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -20,6 +21,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def released() -> None:
+    """Give back what a task's function held: workers live on, and what one operator caches must not stay beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _arrays(batch: pa.ListArray) -> Iterator[np.ndarray | None]:
     """The rows of a list column of numbers, as views of its values."""
     values, bounds, there = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy(), batch.is_valid().to_numpy(zero_copy_only=False)
@@ -30,7 +37,7 @@ def row_udf(make: Callable[[], Callable[[Any], tuple]], schema: str, binary: boo
     """A column function: ``make()`` runs once per task and returns a function from a value to a struct's fields.
 
     ``make`` is pickled to the executors, so it should be a partial of a module's function with
-    small arguments. With ``binary`` a string arrives as its UTF-8 bytes, with ``numbers`` an array of
+    small arguments; what it builds goes when the task ends. With ``binary`` a string arrives as its UTF-8 bytes, with ``numbers`` an array of
     numbers as one of numpy. Null arrives as None.
     """
     fields = StructType.fromDDL(schema)
@@ -38,9 +45,13 @@ def row_udf(make: Callable[[], Callable[[Any], tuple]], schema: str, binary: boo
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
-        for batch in batches:
-            values = _arrays(batch) if numbers else (v.as_py() for v in (batch.cast(pa.binary()) if binary else batch))
-            yield pa.array([apply(v) for v in values], type=kind)
+        try:
+            for batch in batches:
+                values = _arrays(batch) if numbers else (v.as_py() for v in (batch.cast(pa.binary()) if binary else batch))
+                yield pa.array([apply(v) for v in values], type=kind)
+        finally:
+            apply = None
+            released()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, fields)
@@ -53,8 +64,12 @@ def batch_udf(make: Callable[[], Callable[[list], list[tuple]]], schema: str) ->
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         apply = make()
-        for batch in batches:
-            yield pa.array(apply(batch.cast(pa.binary()).to_pylist()), type=kind)
+        try:
+            for batch in batches:
+                yield pa.array(apply(batch.cast(pa.binary()).to_pylist()), type=kind)
+        finally:
+            apply = None
+            released()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, fields)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -26,19 +26,15 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.score: list[float] = []
-        self.raw: list[bytes] = []
+        self.raw = raw_pieces(model)
         self.bytes: dict[int, int] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             self.score.append(model.get_score(i))
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.raw.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i):
-                self.raw.append(b"")
-            else:
+            elif not (model.is_control(i) or model.is_unknown(i)):
                 self.ids[piece] = i
-                self.raw.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.ids))
         #: Neighbouring characters that some piece holds; between any other two every path has a boundary.
         self.inner = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
@@ -239,20 +235,21 @@ class Encoder(Recent):
             return b"".join([self[w] for w in [*joined, spaces + words[-1]]])
         return b"".join([self[SPACE + w] for w in words])
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: the space before the first word goes, bytes that are no UTF-8 become U+FFFD."""
-        raw = self.vocabulary.raw
-        text = b"".join([raw[i] for i in np.frombuffer(ids, self.kind).tolist()]).decode("utf-8", "replace")
-        return text.removeprefix(" ")
-
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def raw_pieces(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
+    """The bytes that each id stands for; control ids stand for none."""
+    found = []
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            found.append(bytes([int(piece[3:5], 16)]))
+        else:
+            found.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode())
+    return found
 
 
 def _make_encode(path: str):
-    held = encoder(path)
+    held = Encoder(path)
 
     def apply(text: str | None) -> tuple:
         ids = held.encode(text or "")
@@ -262,8 +259,13 @@ def _make_encode(path: str):
 
 
 def _make_decode(path: str):
-    held = encoder(path)
-    return lambda ids: (None if ids is None else held.decode(ids.astype(held.kind).tobytes()),)
+    raw = raw_pieces(sentencepiece.SentencePieceProcessor(model_file=path))
+
+    def apply(ids: np.ndarray | None) -> tuple:
+        """The text of ids: the space before the first word goes, bytes that are no UTF-8 become U+FFFD."""
+        return (None if ids is None else b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" "),)
+
+    return apply
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", count: str = "n_pieces") -> DataFrame:
