@@ -25,12 +25,51 @@ def read_feed(spark: SparkSession, path: str, aliases: dict[str, list[str]], sep
     """A delimited text feed with a header; all values stay text.
 
     A byte-order mark is dropped and quoted separators are kept. Only the columns that an alias
-    names are parsed. Large files are split among tasks; with ``multi_line`` quoted line breaks are
-    kept as well, and each file is read by one task.
+    names are parsed. Large files are split among tasks; with ``multi_line`` quoted line breaks are kept as well (see
+    ``quoted_records``).
     """
-    raw = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-           .option("multiLine", multi_line).option("encoding", "UTF-8").csv(path))
-    return resolve_aliases(raw, aliases)
+    options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+    if not multi_line:
+        return resolve_aliases(spark.read.options(**options).csv(path), aliases)
+    # the reader looks at the first record of one file for the names
+    names = spark.read.options(**options, multiLine=True).csv(path).columns
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+    rows = quoted_records(spark, path).select(F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {**options, "header": "false", "multiLine": "true"}).alias("r"))
+    return resolve_aliases(rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]), aliases)
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """``record``: the records of delimited files but for each file's first, with the line breaks inside quotes; splits are read by several tasks.
+
+    A line begins a record if an even number of quotes stands before it in its file. Quotes are counted per
+    split, and the sums of the splits before, a row each, tell every split how it begins. Only lines that quotes
+    tie to others are grouped, by the split and number of the record that they go on; all others are records as they are.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    # a split's lines, no more than one task reads; both uses of them must see the same splits
+    lines = materialize(lines)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+              .select("file", "block", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).alias("open")))
+    inside = Window.partitionBy("file", "block").orderBy("id")
+    placed = (lines.join(starts, ["file", "block"])
+              .withColumn("begins", (F.col("open") + F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2 == 0)
+              .withColumn("number", F.sum(F.col("begins").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("first", (F.col("block") == 0) & (F.row_number().over(inside) == 1)))
+    whole = placed.where(F.col("begins") & (F.col("quotes") % 2 == 0))
+    # lines before the first record of a split go on with the last record of the splits before
+    parts = placed.where(~(F.col("begins") & (F.col("quotes") % 2 == 0)))
+    last = placed.groupBy("file", "block").agg(F.max("number").alias("numbers"))
+    owner = last.select("file", "block", F.last(F.when(F.col("numbers") > 0, F.struct("block", "numbers")), ignorenulls=True).over(before).alias("owner"))
+    tied = parts.join(owner, ["file", "block"]).withColumn(
+        "of", F.when(F.col("number") > 0, F.struct("block", F.col("number").alias("numbers"))).otherwise(F.col("owner")))
+    # the lines of one record
+    joined = tied.groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("lines"), F.bool_or("first").alias("first"))
+    records = (whole.where(~F.col("first")).select(F.col("value").alias("record"))
+               .unionByName(joined.where(~F.col("first")).select(F.array_join("lines.value", "\n").alias("record"))))
+    return records.select(F.regexp_replace("record", r"\r$", "").alias("record")).where("record <> ''")
 
 
 def promo_values(feed: DataFrame, kind: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 from shelf.functions.numbers import nonzero, round_to
 from shelf.functions.text import clean_text
@@ -14,10 +13,13 @@ HISTORY_PARTITION = ["date", "pincode"]
 
 
 def _replace_partitions(df: DataFrame, path: str, partition: list[str]) -> None:
-    """Replace exactly the partitions present in ``df``; the commit is per job, so a retry is safe."""
-    # rows of one partition meet in a few tasks, spread by content so that a hot one is not one file
-    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    (df.repartition(*partition, F.pmod(F.xxhash64(*hashable), F.lit(16)))
+    """Replace exactly the partitions present in ``df``; the commit is per job, so a retry is safe.
+
+    The rows of a partition meet, and their measured size decides in how many tasks: partitions of the
+    exchange above the session's advisory size are split, small ones share a task. So a hot table partition
+    becomes several files and a small one a single one, whatever the number of either.
+    """
+    (df.hint("rebalance", *partition)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path))
 
 

@@ -104,7 +104,7 @@ def test_products_of_any_block_and_level(spark):
         f"{script}not json</script>",
     ]
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
-    got = {r.i: (r.price, r.mrp, r.method) for r in extract.extract_fields(df, extract.price_strategies()).collect()}
+    got = {r.i: (r.price, r.mrp, r.method) for r in extract.extract_fields(df, extract.price_strategies(), also=("mrp",)).collect()}
     assert got == {0: (99.0, 120.0, "json_ld"), 1: (99.0, 120.0, "json_ld"), 2: (None, None, "no_price"), 3: (77.0, None, "meta_tags"),
                    4: (120.0, None, "dom_price"), 5: (50000.0, None, "dom_price"), 6: (None, None, "no_price")}
     names = extract.extract_fields(df, extract.name_strategies(), extract.valid_name, "name").where("i < 2").collect()
@@ -157,3 +157,86 @@ def test_one_line_feed_is_split(spark, tmp_path):
     (tmp_path / "feed.csv").write_text("﻿k,v\n" + "".join(f'"k,{i}",{i}\n' for i in range(1000)), encoding="utf-8")
     rows = feeds.read_feed(spark, str(tmp_path), {"k": ["k"], "v": ["v"]})
     assert rows.count() == 1000 and rows.where("v = '7'").first().k == "k,7"
+
+
+def test_offers_from_payloads_pages_and_their_stock(spark):
+    product = '{"@type":"Product","name":"Deep tea","offers":{"price":"99"}}'
+    deep = '{"w":' * 40 + product + "}" * 40
+    script = '<script type="application/ld+json">'
+    rows = [
+        # an id without a name still is the product; a tracking id is not; ids at depth 11 are too deep
+        ('{"w":{"product_id":"1","mrp":100,"offer_price":80}}', ""),
+        ('{"tracking":{"id":"2","event":"pageview","price":5}}', "<p>Notify me</p>"),
+        ('{"w":' * 11 + '{"product_id":"3","price":5}' + "}" * 11, "<p>here</p>"),
+        ('{"w":' * 10 + '{"product_id":"4","price":5,"title":"At ten"}' + "}" * 10, ""),
+        # a plain price goes before a nested one; the first object with a price counts
+        ('[{"product_id":5,"mrp":9},{"product_id":5,"price":{"sp":"7"},"selling_price":6,"original_price":{"price":8}}]', ""),
+        ('{"id":6,"unit":"kg","price":"₹ 1,234.5","product_name":"Rice"}', ""),
+        (None, script + deep + "</script>"),
+        ("[1, {}]", script + '{"a":' + product.replace("99", "0") + ',"b":[' + product.replace("99", "5") + "," + product.replace("99", "7") + "]}</script>"),
+        ("", "<p>out   of\n<i>stock</i></p>"),
+        (None, None),
+        (None, "x" * 500 + '"price": 12.5 "price": 12.5 "sp": "15"'),
+    ]
+    df = spark.createDataFrame([(i + 1, a, h) for i, (a, h) in enumerate(rows)], "i int, api string, html string")
+    got = {r.i: (r.price, r.mrp, r.product_name, r.in_stock, r.method) for r in extract.extract_offers(df, "html", "api", "i").collect()}
+    api, none = "api_interception", (None, None, None)
+    assert got == {
+        1: (80.0, 100.0, None, True, api), 2: (*none, False, "no_price"), 3: (*none, True, "no_price"), 4: (5.0, None, "At ten", True, api),
+        5: (6.0, 8.0, None, True, api), 6: (1234.5, None, "Rice", True, api), 7: (99.0, None, "Deep tea", True, "json_ld"),
+        8: (7.0, None, "Deep tea", True, "json_ld"), 9: (*none, False, "no_price"), 10: (*none, True, "no_price"), 11: (12.5, 15.0, None, True, "html_regex")}
+
+
+def test_payload_walk_keeps_the_order_and_any_depth(spark):
+    doc = {"z": {"name": "first", "price": 1}, "a": [{"name": "second", "price": 2, "more": {"name": "third", "mrp": 3}}]}
+    deep = '{"x":' * 3000 + '{"name":"low","price":1}' + "}" * 3000
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, deep)], "i int, payload string")
+    rows = extract.explode_products(df, ["i"], "payload").orderBy("i", "position").collect()
+    assert [(r.i, r.product_name) for r in rows] == [(1, "first"), (1, "second"), (1, "third")]
+    assert [(r.i, r.product_name) for r in extract.explode_products(df, ["i"], "payload", depth=10_000).where("i = 2").collect()] in ([(2, "low")], [])
+
+
+def test_hot_partitions_are_split_and_small_ones_share_tasks(spark, tmp_path):
+    rows = spark.range(200_000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 40).cast("int").alias("pincode"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        tables.write_live(rows.repartition(8), str(tmp_path / "live"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {d.name: sorted(f.stat().st_size for f in d.glob("*.parquet")) for d in (tmp_path / "live").glob("pincode=*")}
+    assert len(files["pincode=0"]) >= 4 and max(files["pincode=0"]) < 4_000_000
+    # those that share the hot one's part of the exchange are in its tasks as well
+    small = [len(v) for k, v in files.items() if k != "pincode=0"]
+    assert sum(n <= 2 for n in small) >= len(small) // 2
+    assert tables.read_table(spark, str(tmp_path / "live")).count() == 200_000
+
+
+def test_quoted_line_breaks_over_several_splits(spark, tmp_path):
+    import csv
+    import io
+    import random
+    rng, path = random.Random(8), tmp_path / "feeds"
+    path.mkdir()
+    want = []
+    for f in range(2):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n" if f else "\r\n")
+        writer.writerow(["Key", "Note", "Price, net"])
+        for i in range(3000):
+            note = "".join(rng.choice(["a", "\n", '"', ",", " ", "line\n\n", "é"]) for _ in range(rng.choice([0, 1, 3, 40]))).strip()
+            note = note if rng.random() < 0.99 else "long\n" * 2000 + "end"
+            row = [f"k{f}-{i}", note, f"{i},5"]
+            writer.writerow(row)
+            want.append((row[0], note or None, row[2]))
+        (path / f"f{f}.csv").write_text("\ufeff" + out.getvalue(), encoding="utf-8", newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+        rows = feeds.read_feed(spark, str(path), {"key": ["Key"], "note": ["Note"], "price": ["Price, net"]}, multi_line=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert sorted((r.key, r.note, r.price) for r in rows) == sorted(want)

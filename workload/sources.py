@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelf.operators import extract as x
 from shelf.sources import feeds, tables
@@ -28,11 +29,23 @@ def read_records(t: Tables):
     shape = F.col("doc_id") % 3
     doc = (F.when(shape == 0, F.to_json(F.struct(F.col("r").alias("records")))).when(shape == 1, F.to_json("r")).otherwise(F.to_json(keyed)))
     schema = "item_code long, selling_price double, scraped string"
-    from pyspark.sql.types import StructType
     record = StructType.fromDDL(schema)
     return feeds.explode_records(docs.select("doc_id", doc.alias("doc")), record, "doc").drop("position")
 
 
+@query(sql="SELECT l_partkey AS item_code, l_quantity AS selling_price, strftime(l_shipdate, '%Y-%m-%d') AS scraped FROM lineitem")
+def read_record_files(t: Tables):
+    """A file for each thousand orders, written in the three shapes in turn and read back."""
+    rec = F.struct(F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("selling_price"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("scraped"))
+    docs = t.lineitem.groupBy(F.floor(F.col("l_orderkey") / 1000).alias("file")).agg(F.collect_list(rec).alias("r"))
+    keyed = F.map_from_entries(F.transform("r", lambda e, i: F.struct(i.cast("string"), e)))
+    shape = F.col("file") % 3
+    doc = F.when(shape == 0, F.to_json(F.struct(F.lit("x").alias("source"), F.col("r").alias("records")))).when(shape == 1, F.to_json("r")).otherwise(F.to_json(keyed))
+    path = scratch(t, "records")
+    docs.select("file", doc.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return feeds.read_records(t.spark, path, StructType.fromDDL("item_code long, selling_price double, scraped string")).select("item_code", "selling_price", "scraped")
+
+
 @query(views="offers", sql="""
 WITH f AS (SELECT * FROM offers WHERE quantity <> 1), m AS (SELECT platform, pincode, max(date) AS date FROM f GROUP BY 1, 2)
 SELECT f.platform, f.pincode, f.date, item_code, sp FROM f JOIN m USING (platform, pincode, date)""")
@@ -76,21 +89,26 @@ def snapshot_at(t: Tables):
     return tables.snapshot_at(a.history(t), "2000-04-04", 2).select("date", "pincode", "item_code", "brand", "p0_sp", "p1_sp")
 
 
-_WIDE_SQL = ", ".join(f"""coalesce(max(CASE WHEN platform = '{p}' THEN url END), 'NA') AS {p}_Product_Url,
- coalesce(max(CASE WHEN platform = '{p}' THEN nm END), 'NA') AS {p}_Item_Name, coalesce(max(CASE WHEN platform = '{p}' THEN CAST(price AS VARCHAR) END), 'NA') AS {p}_Selling_Price,
- coalesce(max(CASE WHEN platform = '{p}' THEN CAST(CAST(round(CAST((1 - price / mrp) * 100 AS DECIMAL(28,8)), 1) AS DOUBLE) AS VARCHAR) END), 'NA') AS {p}_Discount__,
- coalesce(max(CASE WHEN platform = '{p}' THEN CASE WHEN tagged THEN 'Mapped' WHEN price IS NOT NULL THEN 'Complete Match' END END), 'NA') AS {p}_Status,
- coalesce(max(CASE WHEN platform = '{p}' THEN '1' END), '1') AS {p}_Factor""" for p in P)
+_WIDE_VALUES = {
+    "Product_Url": "url", "Product_Id": "CASE WHEN tagged THEN CAST(product_id AS VARCHAR) END", "Item_Name": "nm", "Uom": "NULL",
+    "Mrp_Price": "CASE WHEN price IS NOT NULL THEN CAST(mrp AS VARCHAR) END", "Selling_Price": "CAST(price AS VARCHAR)",
+    "Discount__": "CAST(CAST(round(CAST((1 - price / mrp) * 100 AS DECIMAL(28,8)), 1) AS DOUBLE) AS VARCHAR)", "Eta_Mins_": "NULL",
+    "In_Stock_Remark": "CASE WHEN price IS NOT NULL THEN 'available' END",
+    "Status": "CASE WHEN tagged THEN 'Mapped' WHEN price IS NOT NULL THEN 'Complete Match' END",
+    "Partial": "CASE WHEN tagged THEN 'seed' END", "Factor": "'1'"}
+_WIDE_SQL = ", ".join(f"coalesce(max(CASE WHEN platform = '{p}' THEN {v} END), '{'1' if f == 'Factor' else 'NA'}') AS {p}_{f}" for p in P for f, v in _WIDE_VALUES.items())
 
 
 @query(views="listings", sql=f"""
 WITH pr AS (SELECT pincode, item_code, platform, floor(min(sp)) AS price, max(mrp) AS mrp FROM offers GROUP BY 1, 2, 3),
-l AS (SELECT p_partkey, p_name, c.pincode, t.platform, coalesce(t.mrp > 950, false) AS tagged, CASE WHEN t.mrp > 950 THEN 'http://shop.example/' || product_id END AS url,
+l AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, c.pincode, t.platform, t.product_id, coalesce(t.mrp > 950, false) AS tagged,
+   CASE WHEN t.mrp > 950 THEN 'http://shop.example/' || product_id END AS url,
    CASE WHEN t.mrp > 950 THEN t.name || ' mapped' WHEN pr.price IS NOT NULL THEN t.name END AS nm, pr.price, pr.mrp
  FROM part CROSS JOIN (SELECT unnest(range(5)) AS pincode) c LEFT JOIN listings t ON t.source_item = p_partkey
  LEFT JOIN pr ON pr.item_code = p_partkey AND pr.platform = t.platform AND pr.pincode = c.pincode)
-SELECT CAST(p_partkey AS VARCHAR) AS Item_Code, CAST(pincode AS VARCHAR) AS Pincode, p_name AS Item_Name, 'NA' AS Image_Link, {_WIDE_SQL}
-FROM l GROUP BY p_partkey, p_name, pincode""")
+SELECT 'NA' AS Date, 'NA' AS City, CAST(pincode AS VARCHAR) AS Pincode, CAST(p_partkey AS VARCHAR) AS Item_Code, p_name AS Item_Name, p_brand AS Brand,
+ p_type AS Product_Type, 'NA' AS Unit, CAST(p_size AS VARCHAR) AS Unit_Value, CAST(p_retailprice AS VARCHAR) AS Mrp, 'NA' AS Image_Link, {_WIDE_SQL}
+FROM l GROUP BY p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, pincode""")
 def wide_price_table(t: Tables):
     c = F.col
     listing = a.listings(t).withColumnRenamed("source_item", "item_code")
@@ -103,9 +121,7 @@ def wide_price_table(t: Tables):
     master = t.part.select(na.alias("Date"), na.alias("City"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("Pincode"), c("p_partkey").alias("Item_Code"), c("p_name").alias("Item_Name"),
                            c("p_brand").alias("Brand"), c("p_type").alias("Product_Type"), na.alias("Unit"), c("p_size").alias("Unit_Value"),
                            c("p_retailprice").alias("Mrp"), F.lit("nan").alias("Image_Link"))
-    wide = tables.wide_price_table(master, mappings, prices, P)
-    picked = [f"{p}_{f}" for p in P for f in ("Product_Url", "Item_Name", "Selling_Price", "Discount__", "Status", "Factor")]
-    return wide.select("Item_Code", "Pincode", "Item_Name", "Image_Link", *picked)
+    return tables.wide_price_table(master, mappings, prices, P)
 
 
 @query(views="offers", sql="""
@@ -192,10 +208,54 @@ def extract_prices(t: Tables):
         F.concat(F.lit('<script type="application/ld+json">{broken '), price, F.lit("</script>")),
     ]
     html = F.element_at(F.array(*pages), (form + 1).cast("int"))
-    rows = x.extract_fields(t.orders.select("o_orderkey", html.alias("html")), x.price_strategies())
+    rows = x.extract_fields(t.orders.select("o_orderkey", html.alias("html")), x.price_strategies(), also=("mrp",))
     return rows.select("o_orderkey", "price", "mrp", "method", "confidence", "methods_tried")
 
 
+@query(sql="""
+WITH o AS (SELECT o_orderkey, o_totalprice AS p, o_orderkey % 8 AS form FROM orders),
+v AS (SELECT *, form NOT IN (5, 6) AND p BETWEEN 1 AND 50000 AS ok FROM o)
+SELECT o_orderkey, CASE WHEN ok THEN p END AS price,
+ CASE WHEN ok AND (form = 0 OR form IN (3, 4) AND p + 10 < 50000) THEN p + 10 WHEN ok AND form = 1 THEN p + 10 END AS mrp,
+ CASE WHEN NOT ok THEN NULL WHEN form = 0 THEN 'Item ' || o_orderkey WHEN form IN (1, 2, 3) THEN 'Named ' || o_orderkey END AS product_name,
+ form <> 5 AS in_stock,
+ CASE WHEN NOT ok THEN 'no_price' WHEN form IN (0, 7) THEN 'api_interception' WHEN form = 1 THEN 'json_ld' WHEN form = 2 THEN 'meta_tags'
+  WHEN form = 3 THEN 'dom_price' ELSE 'html_regex' END AS method,
+ CASE WHEN NOT ok THEN 0::DOUBLE WHEN form IN (0, 7) THEN 0.95 WHEN form = 1 THEN 0.9 WHEN form = 2 THEN 0.85 WHEN form = 3 THEN 0.75 ELSE 0.5 END AS confidence,
+ CASE WHEN NOT ok THEN 5 WHEN form IN (0, 7) THEN 1 WHEN form = 1 THEN 2 WHEN form = 2 THEN 3 WHEN form = 3 THEN 4 ELSE 5 END AS methods_tried FROM v""")
+def extract_offers(t: Tables):
+    c, price, dearer = F.col, F.col("o_totalprice").cast("string"), (F.col("o_totalprice") + 10).cast("string")
+    ident = c("o_orderkey").cast("string")
+
+    def text(*parts):
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def nested(levels: int, inner):
+        return text('{"w":' * levels, inner, "}" * levels)
+
+    script = '<script type="application/ld+json">'
+    product = text('{"@type":"Product","name":"Named ', ident, '","offers":[{"price":0},{"price":"', price, '","highPrice":', dearer, "}]}")
+    stranger = text('{"list":[{"product_id":"other","mrp":1,"price":7}],"tracking":{"id":"', ident, '","price":3}}')
+    forms = [  # (captured payload, page)
+        (text('{"list":[{"product_id":"other","price":7},', nested(6, text('{"product_id":', ident, ',"price":{"offer_price":"₹', price, '"},"mrp":', dearer,
+                                                                           ',"display_name":"Item ', ident, '"}')), "]}"), F.lit("")),
+        (stranger, text(script, nested(12, product), "</script>")),
+        (stranger, text("<meta property='og:title' content='Named ", ident, "'><meta content='", price, "' property='og:price:amount'>")),
+        (stranger, text("<h1>Customer reviews</h1><h1><b>Named</b> ", ident, "</h1><span>MRP ₹", dearer, "</span><div> ₹ ", price, "</div>")),
+        (F.lit(None).cast("string"), text("<i>x</i>" * 80, '{"sp": ', price, ', "selling_price": ', price, ', "price": ', dearer, "}")),
+        (F.lit("no json"), F.lit("<p>Currently <b>Unavailable</b></p>")),
+        (stranger, F.lit("<script>var x = 'out of stock'</script><p>in the shop</p>")),
+        (text('{"a":[[{"id":', ident, ',"brand":"b","selling_price":"₹ ', price, '"}]]}'), F.lit("<p>sold out</p>")),
+    ]
+    at = (c("o_orderkey") % len(forms) + 1).cast("int")
+    pages = t.orders.select("o_orderkey", F.element_at(F.array(*[f[0] for f in forms]), at).alias("api"),
+                            F.element_at(F.array(*[f[1] for f in forms]), at).alias("html"))
+    rows = x.extract_offers(pages, "html", "api", "o_orderkey")
+    # a page of form 7 without a valid price says that it is sold out
+    stock = F.when((c("o_orderkey") % 8 == 7) & c("price").isNull(), ~c("in_stock")).otherwise(c("in_stock"))
+    return rows.select("o_orderkey", "price", "mrp", "product_name", stock.alias("in_stock"), "method", "confidence", "methods_tried")
+
+
 @query(sql=f"""WITH {_PAGES}, h AS (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, * FROM e),
 g AS (SELECT host, count(*) AS attempts, count(*) FILTER (method <> 'no_price') AS successful FROM h GROUP BY 1),
 r AS (SELECT *, CAST(round(CAST(successful AS DECIMAL(20,0)) * 100 / CAST(attempts AS DECIMAL(20,0)), 1) AS DOUBLE) AS success_rate FROM g)
