@@ -207,102 +207,59 @@ def barcode_veto(matches: DataFrame, codes: DataFrame) -> DataFrame:
 
 # --- type and price cascade ------------------------------------------------------------------
 
+#: Scores below which a round of the type cascade stops: profiles that found a listing by then are settled.
+BANDS = (0.85, 0.7, 0.5, 0.0)
+
+
 def type_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[str] | None = None,
                  similarity: str = "ratcliff", weight: tuple[float, float] = (0.8, 1.25),
                  min_score: float = 0.50, mrp_tolerance_pct: float = 15.0) -> DataFrame:
     """Type (strict), brand or name words, pack size (mandatory), MRP, then the best name.
 
-    The final candidates come from one join on (type word, pack cell, MRP cell). Why the rest
-    failed is found by semi-joins for the unmatched profiles only.
+    A rank join. Texts that the rules cannot tell apart become one; these meet by words, and each pair of names is
+    scored once. Profiles of pack size and MRP then look for listings from the best-scored texts down,
+    in a few rounds: one that finds a listing is settled, as all it has not seen score less. Of the listings of one text
+    and pack size it meets the two next in MRP only. Why the rest failed is read from the pairs of texts.
     """
     by = list(by or [])
-    profile = [*by, "_type", "_name", "_brand_text", "_base", "_family", "_mrp"]
+    texts, numbers = [*by, "_type", "_name", "_brand_text"], ["_base", "_family", "_mrp"]
     r = _reference(ref).withColumn("_mrp", F.coalesce(nonzero(F.col("mrp")).cast("double"), F.lit(-1.0)))
-
-    def tag(kind: str, ws: str) -> Column:
-        return F.transform(ws, lambda w: F.concat(F.lit(kind), w))
-
-    def with_words(df: DataFrame) -> DataFrame:
-        anchors = (F.when(F.size("_type_words") > 0, tag("t:", "_type_words"))
-                   .when(F.size("_any_words") > 0, tag("n:", "_any_words")).otherwise(F.array(F.lit("*"))))
-        return (df.withColumn("_type_words", text.significant(text.words(F.col("_type"))))
-                .withColumn("_name_words", text.significant(text.words(F.col("_name"))))
-                .withColumn("_brand_words", text.significant(text.words(F.col("_brand_text"))))
-                .withColumn("_any_words", F.array_union("_name_words", "_brand_words"))
-                .withColumn("_anchors", anchors))
-
-    p = materialize(with_words(r.select(*profile).distinct()))
     effective_mrp = F.coalesce(nonzero(F.col("mrp")), nonzero(F.col("price")), F.lit(-1.0)).cast("double")
-    c = _collapse(_listings(cand).withColumn("c_mrp", effective_mrp),
-                  [*by, "c_name", "c_category", "c_brand_text", "c_base", "c_family", "c_mrp"], order)
-    c = (c.withColumn("c_side", text.significant(text.words(F.col("c_name"))))
-         .withColumn("c_pool", F.array_union(text.significant(text.words(F.col("c_category"))), F.col("c_side")))
-         .withColumn("c_all", F.array_union("c_side", text.significant(text.words(F.col("c_brand_text")))))
-         .drop("c_side"))
-    c = materialize(c)
-    tagged = F.concat(tag("t:", "c_pool"), tag("n:", "c_all"), F.array(F.lit("*")))
-
-    # listings meet only the words some reference row asks for
-    asked = p.select(*by, F.explode("_anchors").alias("_word"), (F.col("_mrp") > 0).alias("_by_mrp")).distinct()
-    c_words = c.withColumn("_word", F.explode(tagged))
-
-    type_ok = (F.size("_type_words") == 0) | F.arrays_overlap("_type_words", "c_pool")
-    brand_ok = F.arrays_overlap("_brand_words", "c_all")
-    shared = F.size(F.array_intersect("_name_words", "c_all"))
-    no_words = F.size("_any_words") == 0
-    name_ok = (no_words | brand_ok | (shared >= 3) | ((shared >= 2) & (F.size("_brand_words") == 0)))
-    ratio = F.col("c_base") / F.col("_base")
-    weight_ok = (F.col("_family") == F.col("c_family")) & ratio.between(*weight)
-    mrp_diff = F.abs(F.col("c_mrp") - F.col("_mrp")) / F.col("_mrp") * 100
-
-    w_width = grid_width(*weight)
-    m_width = grid_width(1 - mrp_tolerance_pct / 100, 1 + mrp_tolerance_pct / 100)
-    off = F.lit(-999_999).cast("long")
-    weighed = p.where(F.col("_base") > 0)
-    ref_keys = (weighed.withColumn("_word", F.explode("_anchors"))
-                .withColumn("_wcell", F.explode(probes(F.col("_base"), w_width)))
-                .withColumn("_mcell", F.explode(F.when(F.col("_mrp") > 0, probes(F.col("_mrp"), m_width))
-                                                .otherwise(F.array(off)))))
-    cand_keys = (c_words.where(F.col("c_base") > 0).join(asked, [*by, "_word"])
-                 .withColumn("_family", F.col("c_family"))
-                 .withColumn("_wcell", cell(F.col("c_base"), w_width))
-                 .withColumn("_mcell", F.when(F.col("_by_mrp"), cell(F.col("c_mrp"), m_width)).otherwise(off))
-                 .where(F.col("_mcell").isNotNull()).drop("_by_mrp"))
-    pairs = (salted_join(ref_keys, cand_keys, [*by, "_word", "_family", "_wcell", "_mcell"])
-             # the word joined on is a shared type word already; numbers are compared before lists
-             .where(ratio.between(*weight) & ((F.col("_mrp") <= 0) | (mrp_diff <= mrp_tolerance_pct)) & name_ok)
-             .withColumn("mrp_diff", F.when(F.col("_mrp") > 0, mrp_diff).otherwise(0.0))
-             .withColumn("weight_diff", F.abs(1 - ratio))
-             .withColumn("score", name_similarity(similarity, F.col("_name"), F.col("c_name"))))
-    best = materialize(_best(pairs, profile, [F.col("mrp_diff"), F.col("weight_diff"), F.col("c_order")])
-                       .withColumn("_has_pair", F.lit(True)))
+    c_texts = [*by, "c_name", "c_category", "c_brand_text"]
+    c = materialize(_collapse(_listings(cand).withColumn("c_mrp", effective_mrp), [*c_texts, "c_base", "c_family", "c_mrp"], order))
+
+    named = materialize(_reference_words(r.select(*texts).distinct()))
+    words = [*by, "_name", "_type_words", "_brand_words"]
+    rt = materialize(named.select(*words, "_name_words", "_any_words").distinct().withColumn("_rt", F.monotonically_increasing_id()))
+    named = materialize(named.join(rt.select("_rt", *words), words).select("_rt", *texts))
+    c_named = _listing_words(c.select(*c_texts).distinct())
+    c_words = [*by, "c_name", "c_pool", "c_all"]
+    ct = materialize(c_named.select(*c_words).distinct().withColumn("_ct", F.monotonically_increasing_id()))
+    met = materialize(_text_pairs(rt, ct, by, similarity))
+    in_range = (c.where(F.col("c_base") > 0).join(c_named, c_texts).join(ct, c_words).groupBy("_ct", "c_base", "c_family", "c_mrp")
+                .agg(F.min_by("own", "c_order").alias("own"), F.min("c_order").alias("c_order")))
+    in_range = materialize(in_range)
+    r = r.join(named, texts, "left")
+
+    profile = ["_rt", *numbers]
+    p = materialize(r.where("_rt IS NOT NULL").select(*profile).distinct())
+    best = _settled(p.where(F.col("_base") > 0), in_range, met, weight, mrp_tolerance_pct)
 
     # why the others failed
     failed = p.join(best.select(*profile), profile, "left_anti")
-    pool_words = c_words.select(*by, "_word").distinct()
-    has_type = (failed.where(F.size("_type_words") > 0).withColumn("_word", F.explode("_anchors"))
-                .join(pool_words, [*by, "_word"], "left_semi").select(*profile).distinct())
-    any_word = failed.where(~no_words).withColumn("_word", F.explode("_any_words"))
-    by_name = c.withColumn("_word", F.explode("c_all"))
-    has_name = (_semi(any_word, by_name, [*by, "_word"], type_ok & name_ok).select(*profile).distinct())
-    by_weight = (c_words.where(F.col("c_base") > 0).join(asked.drop("_by_mrp").distinct(), [*by, "_word"], "left_semi")
-                 .withColumn("_wcell", cell(F.col("c_base"), w_width)))
-    in_cells = (failed.where(F.col("_base") > 0).withColumn("_word", F.explode("_anchors"))
-                .withColumn("_wcell", F.explode(probes(F.col("_base"), w_width))))
-    has_weight = (_semi(in_cells, by_weight, [*by, "_word", "_wcell"], weight_ok & name_ok)
-                  .select(*profile).distinct())
-
-    def flag(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn(name, F.lit(True))
-
-    resolved = (p.join(best, profile, "left").join(flag(has_type, "_has_type"), profile, "left")
-                .join(flag(has_name, "_has_name"), profile, "left")
-                .join(flag(has_weight, "_has_weight"), profile, "left"))
+    pool_words = ct.select(*by, F.explode("c_pool").alias("_word")).distinct()
+    of_type = rt.select("_rt", *by, F.explode("_type_words").alias("_word")).join(pool_words, [*by, "_word"], "left_semi").select("_rt").distinct()
+    reasons = (rt.select("_rt", (F.size("_type_words") > 0).alias("_asks_type"), (F.size("_any_words") > 0).alias("_asks_name"))
+               .join(of_type.withColumn("_has_type", F.lit(True)), "_rt", "left")
+               .join(met.select("_rt").distinct().withColumn("_has_name", F.lit(True)), "_rt", "left"))
+    has_weight = (_near(failed.where(F.col("_base") > 0).select("_rt", "_base", "_family").distinct(), met, in_range.select("_ct", "c_base", "c_family").distinct(), weight)
+                  .select("_rt", "_base", "_family").distinct().withColumn("_has_weight", F.lit(True)))
+    resolved = (p.join(best, profile, "left").join(reasons, "_rt").join(has_weight, ["_rt", "_base", "_family"], "left"))
     known = F.col("_has_pair").isNotNull()
     why = (F.when(known & (F.coalesce("best.score", F.lit(0.0)) >= min_score), "matched")
            .when(known, "no_name_score")
-           .when((F.size("_type_words") > 0) & F.col("_has_type").isNull(), "no_type_match")
-           .when(~no_words & F.col("_has_name").isNull(), "no_name_token")
+           .when(F.col("_asks_type") & F.col("_has_type").isNull(), "no_type_match")
+           .when(F.col("_asks_name") & F.col("_has_name").isNull(), "no_name_token")
            .when((F.col("_base") <= 0) | F.col("_has_weight").isNull(), "no_weight")
            .otherwise("mrp_rejected"))
     resolved = resolved.withColumn("_reason", why).select(*profile, "best", "_reason")
@@ -311,12 +268,94 @@ def type_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[str
                          F.coalesce(nonzero(F.col("sp")), nonzero(F.col("mrp"))))
 
 
-def _semi(left: DataFrame, right: DataFrame, keys: list[str], condition: Column) -> DataFrame:
-    """Left semi-join on equal keys and a condition over columns of both sides; emits no pairs."""
-    renamed = right.select(*[F.col(k).alias(f"k_{k}") for k in keys],
-                           *[F.col(x) for x in right.columns if x not in keys and x not in left.columns])
-    equal = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"k_{k}") for k in keys])
-    return left.join(renamed, equal & condition, "left_semi")
+def _reference_words(texts: DataFrame) -> DataFrame:
+    return (texts.withColumn("_type_words", text.significant(text.words(F.col("_type"))))
+            .withColumn("_name_words", text.significant(text.words(F.col("_name"))))
+            .withColumn("_brand_words", text.significant(text.words(F.col("_brand_text"))))
+            .withColumn("_any_words", F.array_union("_name_words", "_brand_words")))
+
+
+def _listing_words(texts: DataFrame) -> DataFrame:
+    return (texts.withColumn("c_side", text.significant(text.words(F.col("c_name"))))
+            .withColumn("c_pool", F.array_union(text.significant(text.words(F.col("c_category"))), F.col("c_side")))
+            .withColumn("c_all", F.array_union("c_side", text.significant(text.words(F.col("c_brand_text"))))).drop("c_side"))
+
+
+def _text_pairs(rt: DataFrame, ct: DataFrame, by: list[str], similarity: str) -> DataFrame:
+    """(_rt, _ct, score): the texts that agree in a type word and in a brand word or enough name words, each pair once.
+
+    They meet on a type word together with a brand word or one of the rarest name words: of n name words of which
+    t must be shared, one of the n - t + 1 rarest is. So a word that most texts have is a key only
+    where it is a brand. Sides without words meet on "*".
+    """
+    anything = F.array(F.lit("*"))
+    frequency = ct.select(*by, F.explode("c_all").alias("_word")).groupBy(*by, "_word").agg(F.count("*").alias("_n"))
+    ranked = (rt.select("_rt", *by, F.explode("_name_words").alias("_word")).join(frequency, [*by, "_word"], "left")
+              .groupBy("_rt").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word"))).alias("_rare")))
+    needed = F.when(F.size("_brand_words") == 0, 2).otherwise(3)
+    rarest = F.slice(F.coalesce(F.col("_rare._word"), F.array().cast("array<string>")), F.lit(1), F.greatest(F.size("_name_words") - needed + 1, F.lit(0)))
+    left = (rt.join(ranked, "_rt", "left").withColumn("_k1", F.when(F.size("_type_words") > 0, F.col("_type_words")).otherwise(anything))
+            .withColumn("_k2", F.when(F.size("_any_words") > 0, F.array_union("_brand_words", rarest)).otherwise(anything)))
+    left = materialize(left.select("_rt", *by, "_name", "_type_words", "_name_words", "_brand_words", "_any_words", "_k1", "_k2"))
+    keys = left.withColumn("_word", F.explode("_k1")).withColumn("_key", F.explode("_k2"))
+    asked = keys.select(*by, "_word", "_key").distinct()
+    right = (ct.withColumn("_word", F.explode(F.concat("c_pool", anything))).withColumn("_key", F.explode(F.concat("c_all", anything)))
+             .join(asked, [*by, "_word", "_key"], "left_semi").select("_ct", *by, "c_name", "c_pool", "c_all", "_word", "_key"))
+    shared = F.size(F.array_intersect("_name_words", "c_all"))
+    name_ok = ((F.size("_any_words") == 0) | F.arrays_overlap("_brand_words", "c_all") | (shared >= 3)
+               | ((shared >= 2) & (F.size("_brand_words") == 0)))
+    once = ((F.col("_word") == F.coalesce(F.array_min(F.array_intersect("_k1", "c_pool")), F.lit("*")))
+            & (F.col("_key") == F.coalesce(F.array_min(F.array_intersect("_k2", "c_all")), F.lit("*"))))
+    pairs = salted_join(keys, right, [*by, "_word", "_key"]).where(once & name_ok).select("_rt", "_ct", "_name", "c_name")
+    pairs = materialize(pairs)
+    scored = F.when(F.col("c_name") == "", 0.0).otherwise(name_similarity(similarity, F.col("_name"), F.col("c_name")))
+    names = pairs.select("_name", "c_name").distinct().withColumn("score", scored)
+    return pairs.join(names, ["_name", "c_name"]).select("_rt", "_ct", "score")
+
+
+def _near(p: DataFrame, met: DataFrame, sizes: DataFrame, weight: tuple[float, float]) -> DataFrame:
+    """Profiles, the texts they meet and those pack sizes of these that are in range."""
+    return (p.join(met, "_rt").join(sizes, "_ct")
+            .where((F.col("_family") == F.col("c_family")) & (F.col("c_base") / F.col("_base")).between(*weight)))
+
+
+def _next_in_mrp(near: DataFrame, listings: DataFrame) -> DataFrame:
+    """``near`` with ``found``: of the listings of the same text and pack size the one of the next lower or equal and of the next higher or equal MRP."""
+    group = ["_ct", "c_base", "c_family"]
+    theirs = listings.select(*group, F.col("c_mrp").alias("_at"), F.struct("c_mrp", "own", "c_order").alias("_found"))
+    both = near.withColumn("_at", F.col("_mrp")).unionByName(theirs, allowMissingColumns=True)
+    # a listing of an equal MRP comes first in both directions
+    listing_first = F.col("_found").isNull()
+    up, down = (Window.partitionBy(*group).orderBy(at, listing_first).rowsBetween(Window.unboundedPreceding, 0) for at in (F.col("_at"), F.desc("_at")))
+    told = both.withColumn("_below", F.last("_found", ignorenulls=True).over(up)).withColumn("_above", F.last("_found", ignorenulls=True).over(down))
+    return told.where(F.col("_found").isNull()).withColumn("found", F.explode(F.array_distinct(F.array("_below", "_above")))).where("found IS NOT NULL")
+
+
+def _settled(p: DataFrame, listings: DataFrame, met: DataFrame, weight: tuple[float, float], mrp_tolerance_pct: float) -> DataFrame:
+    """Every profile (_rt, _base, _family, _mrp) with a listing in range, and its best.
+
+    Profiles that found one in a band of scores do not look at lower ones. Of equal scores the nearest MRP, pack
+    size and the first listing win; scores of 0 never do.
+    """
+    profile = ["_rt", "_base", "_family", "_mrp"]
+    sizes = materialize(listings.groupBy("_ct", "c_base", "c_family").agg(
+        F.min_by(F.struct("c_mrp", "own", "c_order"), "c_order").alias("_first")))
+    priced = listings.where(F.col("c_mrp") > 0)
+    high, found = float("inf"), []
+    for low in BANDS:
+        near = _near(p, met.where((F.col("score") >= low) & (F.col("score") < high)), sizes, weight)
+        high = low
+        # without an MRP any listing of the size will do
+        pairs = (_next_in_mrp(near.where(F.col("_mrp") > 0).drop("_first"), priced).select(*profile, "c_base", "score", "found")
+                 .unionByName(near.where(F.col("_mrp") <= 0).select(*profile, "c_base", "score", F.col("_first").alias("found"))))
+        mrp_diff = F.when(F.col("_mrp") > 0, F.abs(F.col("found.c_mrp") - F.col("_mrp")) / F.col("_mrp") * 100).otherwise(0.0)
+        pairs = pairs.withColumn("mrp_diff", mrp_diff).where(F.col("mrp_diff") <= mrp_tolerance_pct)
+        rank = F.when(F.col("score") > 0, F.struct((-F.col("score")).alias("s"), "mrp_diff", F.abs(1 - F.col("c_base") / F.col("_base")).alias("w"), "found.c_order"))
+        best = materialize(pairs.groupBy(*profile).agg(F.min_by(F.struct("found.own", "score"), rank).alias("best")).withColumn("_has_pair", F.lit(True)))
+        found.append(best)
+        if low > 0:
+            p = p.join(best.select(*profile), profile, "left_anti")
+    return reduce(lambda x, y: x.unionByName(y), found)
 
 
 # --- candidates already searched for an item ------------------------------------------------------
@@ -505,12 +544,18 @@ def id_then_fuzzy(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
                          nonzero(F.col("sp")), extra=["method"])
 
 
+#: Similarities down to which a round of ``top_candidates`` finds every listing.
+ROUND_SCORES = (0.6, 0.3)
+
+
 def top_candidates(ref: DataFrame, cand: DataFrame, n: int, order: list[str], by: list[str] | None = None,
                    similarity: str = "ratcliff", brand_bonus: float = 0.1, min_score: float = 0.0) -> DataFrame:
     """The n most similar listings per item among those sharing a word with its brand and name.
 
-    With ``min_score`` listings below it (before the brand bonus) are left out; together with
-    ``token_jaccard`` that keeps common words from pairing everything with everything.
+    With ``min_score`` listings below it (before the brand bonus) are left out. With ``token_jaccard``
+    items are served in rounds: a round finds all listings down to a similarity, on the items' rarest words alone, and an
+    item whose n-th score is above what any other listing could reach is settled. Only the rest go on, so a
+    word that most names have makes no pairs for settled items.
     """
     by = list(by or [])
     r = (ref.withColumn("_brand", text.normalize_name(_text("brand")))
@@ -524,16 +569,34 @@ def top_candidates(ref: DataFrame, cand: DataFrame, n: int, order: list[str], by
     same_name = Window.partitionBy(*by, "c_name").orderBy("c_order")
     c = (c.where(F.col("c_name") != "").withColumn("_copy", F.row_number().over(same_name)).where(F.col("_copy") <= n).drop("_copy")
          .withColumn("c_words", text.words(F.col("c_name"))))
+    rounds = [t for t in ROUND_SCORES if t > min_score] if similarity == "token_jaccard" else []
+    if rounds:
+        p, c = materialize(p), materialize(c)
+    ranked: list[DataFrame] = []
+    for t in [*rounds, min_score]:
+        best = _ranked_pairs(p, c, n, by, profile, similarity, brand_bonus, t)
+        if t != min_score:
+            best = materialize(best)
+            # what this round did not see is less similar than t
+            others = F.lit(t) + F.when(F.col("_brand") != "", brand_bonus).otherwise(0.0)
+            done = best.where((F.col("rank") == n) & (F.col("score") >= others)).select(*profile)
+            best = best.join(done, profile, "left_semi")
+            p = materialize(p.join(done, profile, "left_anti"))
+        ranked.append(best)
+    return (r.select(*by, "item_code", "_query", "_brand").join(reduce(lambda x, y: x.unionByName(y), ranked), profile)
+            .select(*by, "item_code", "rank", round_to(F.col("score"), 3).alias("score"),
+                    *[F.col(f"own.{f}").alias(name) for f, name in OWN_COLUMNS.items()]))
+
+
+def _ranked_pairs(p: DataFrame, c: DataFrame, n: int, by: list[str], profile: list[str], similarity: str, brand_bonus: float, least: float) -> DataFrame:
+    """The best n listings of each profile among those at least as similar as ``least``."""
     bonus = (F.col("_brand") != "") & F.contains(F.col("c_name"), F.col("_brand"))
-    pairs = (_share_a_word(p, c, by, similarity, min_score)
-             .withColumn("_raw", _word_similarity(similarity, "_query")).where(F.col("_raw") >= min_score)
+    pairs = (_share_a_word(p, c, by, similarity, least)
+             .withColumn("_raw", _word_similarity(similarity, "_query")).where(F.col("_raw") >= least)
              .withColumn("score", F.when(bonus, F.least(F.lit(1.0), F.col("_raw") + brand_bonus)).otherwise(F.col("_raw"))))
     # the rank limit is applied before the shuffle as well as after it
     w = Window.partitionBy(*profile).orderBy(F.desc("score"), "c_order")
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return (r.select(*by, "item_code", "_query", "_brand").join(ranked, profile)
-            .select(*by, "item_code", "rank", round_to(F.col("score"), 3).alias("score"),
-                    *[F.col(f"own.{f}").alias(name) for f, name in OWN_COLUMNS.items()]))
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*profile, "rank", "score", "own")
 
 
 # --- barcodes and hashes -------------------------------------------------------------------------

@@ -173,6 +173,83 @@ def test_hash_match_is_exact(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bands", hashes.CUTS)
+def test_radii_leave_no_distance_out(bands):
+    rng, widths = random.Random(bands), hashes._widths(bands)
+    assert sum(widths) == 64
+    for distance in (0, 2, 5, 8, 11, 12):
+        radii = hashes.allocated(distance, widths, [rng.random() * 50 for _ in widths])
+        assert sum(r + 1 for r in radii) == distance + 1
+        starts = [sum(widths[:i]) for i in range(bands)]
+        for _ in range(200):  # any so many changed bits leave a band within its radius
+            changed = sum(1 << b for b in rng.sample(range(64), distance))
+            assert any(r >= 0 and (changed >> s & (1 << w) - 1).bit_count() <= r for s, w, r in zip(starts, widths, radii))
+    assert hashes.allocated(5, [32, 32], [0.0, 1e6]) == [4, 0] or hashes.allocated(5, [32, 32], [0.0, 1e6])[0] >= 2
+
+
+@pytest.mark.parametrize("cuts", [(3,), (4,), (8,)])
+def test_hash_match_of_any_cut_per_group(spark, monkeypatch, cuts):
+    monkeypatch.setattr(hashes, "CUTS", cuts)
+    rng = random.Random(cuts[0])
+    base = [rng.getrandbits(63) for _ in range(25)]
+    rows = [(g, f"p{i}", h ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 16)))) for g in (1, 2) for i, h in enumerate(base)]
+    ref = [(g, i, "p3", h) for g in (1, 2) for i, h in enumerate(base)]
+    cand = spark.createDataFrame(rows, "city int, product_id string, hash long")
+    got = {(r.city, r.item_code): (r.product_id, r.distance) for r in hashes.hash_match(
+        spark.createDataFrame(ref, "city int, item_code long, product_id string, hash long"), cand, ["product_id"], by=["city"]).collect()}
+    want = {}
+    for g, i, own, h in ref:
+        d, product = min(((h ^ x).bit_count(), p) for c, p, x in rows if c == g and p != own)
+        if d <= 12:
+            want[g, i] = (product, d)
+    assert got == want
+
+
+def test_top_candidates_equal_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary, common = [f"w{i}" for i in range(40)], ["fresh", "pack"]
+
+    def name():
+        return " ".join(common[:rng.randint(0, 2)] + rng.sample(vocabulary, rng.randint(1, 5)))
+
+    refs = [(i, name(), rng.choice(["acme", "crown", ""])) for i in range(60)]
+    cands = [(f"p{i}", rng.choice([refs[rng.randrange(60)][1], name()]), rng.choice(["acme", "crown"]), i) for i in range(300)]
+    ref = spark.createDataFrame([(i, n, b, "", "g", 1.0, 1.0, 1.0, "") for i, n, b in refs], REF)
+    cand = spark.createDataFrame([(p, n, b, "", "", 1.0, 1.0, "", o) for p, n, b, o in cands], CAND)
+    got = {}
+    for r in matching.top_candidates(ref, cand, 3, ["ord"], similarity="token_jaccard").collect():
+        got.setdefault(r.item_code, []).append((r.rank, r.product_id))
+    for i, n, b in refs:
+        query, scored = set(f"{b} {n}".split()), []
+        for p, cn, cb, o in cands:
+            words = set(f"{cb} {cn}".split())
+            if query & words:
+                raw = len(query & words) / len(query | words)
+                scored.append((-(min(1.0, raw + 0.1) if b and b in f"{cb} {cn}" else raw), o, p))
+        want = [(k + 1, p) for k, (_, _, p) in enumerate(sorted(scored)[:3])]
+        assert sorted(got.get(i, [])) == want
+
+
+def test_rank_join_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Ten times the items and listings of a few texts: profiles meet listings next in MRP, not all of a price band."""
+    seen = []
+    plain = matching._next_in_mrp
+    monkeypatch.setattr(matching, "_next_in_mrp", lambda near, listings: seen.append(plain(near, listings)) or seen[-1])
+
+    def pairs(n):
+        seen.clear()
+        ref = spark.range(n).selectExpr("id as item_code", "concat('gold tea ', id % 3) as name", "'acme' as brand", "'tea' as product_type", "'g' as unit",
+                                        "500.0D as unit_value", "100 + id / 100.0D as mrp", "90.0D as sp", "'' as barcode")
+        cand = spark.range(n).selectExpr("concat('p', id) as product_id", "concat('gold tea ', id % 3) as name", "'acme' as brand", "'tea' as category", "'500 g' as unit",
+                                         "90.0D as price", "100 + (id + 0.5D) / 100 as mrp", "'' as barcode", "id as ord")
+        out = matching.type_cascade(ref, cand, ["ord"], similarity="levenshtein")
+        assert out.where("reason = 'matched'").count() == n
+        return sum(df.count() for df in seen)
+
+    few, many = pairs(200), pairs(2000)
+    assert many <= 12 * few
+
+
 def test_barcodes(spark):
     ref = spark.createDataFrame([(1, "8901234567890", '["111", "12345678"]'), (2, "1234", None), (3, "12345678", None)],
                                 "item_code long, bar_code string, bar_codes string")
