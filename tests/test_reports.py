@@ -62,3 +62,21 @@ def test_completeness_both_ways(spark):
     out = spark.createDataFrame([(1, 2, 5.0), (1, 3, None)], "pincode int, item_code int, sp double")
     r = quality.completeness(ref, out, ["sp"], ["pincode"]).first()
     assert (r.ref_items, r.output_rows, r.priced, r.missing, r.extra) == (2, 2, 1, 1, 1)
+
+
+def test_order_statistics_of_any_size_and_sign(spark):
+    import math
+    import random
+    rng = random.Random(4)
+    groups = {
+        "mixed": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(2000)] + [0.0, -0.0, 5e-324, -5e-324, 1.7e308],
+        "near": [1.0 + k * 2.0 ** -40 for k in range(3000)] + [1.0] * 5000,
+        "same": [7.25] * 100, "one": [-3.0], "integers": [float(k) for k in range(-500, 500)], "wide": [1e-9, 1e9, 0.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    quantiles = {"low": 0.0, "median": 0.5, "p90": 0.9, "p99": 0.99}
+    got = {r.g: r for r in order_statistics(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", quantiles).collect()}
+    for g, values in groups.items():
+        ordered = sorted(values)
+        for name, q in quantiles.items():
+            assert got[g][name] == ordered[math.floor(q * len(ordered))], (g, name)
