@@ -85,7 +85,7 @@ def delta_vs_reference(ref: DataFrame, offers: DataFrame, key: str = "item_code"
     all cities. ``ref`` carries ``ref_sp`` and ``ref_mrp``; the SP counts, or the MRP where SP is missing or 0.
     """
     best = (offers.groupBy(*by, key)
-            .agg(F.min_by("platform", F.struct(F.col("sp").alias("p"), F.col("platform").alias("n"))
+            .agg(F.min_by("platform", F.when(F.col("sp").isNotNull(), F.struct(F.col("sp").alias("p"), F.col("platform").alias("n")))
                           ).alias("best_platform"), F.min("sp").alias("best_price")))
     ref_price = F.coalesce(F.when(F.col("ref_sp") != 0, F.col("ref_sp")), F.col("ref_mrp"))
     delta = F.when((ref_price > 0), F.col("best_price") - ref_price)
@@ -121,12 +121,15 @@ def top_mismatches(df: DataFrame, n: int = 15, over: float = 2.0) -> DataFrame:
             .orderBy(F.desc("price_diff_pct"), "item_code").limit(n))
 
 
-def demand_weight(df: DataFrame, value: str, part: list[str]) -> DataFrame:
+def demand_weight(df: DataFrame, value: str, part: list[str], total: Column | None = None) -> DataFrame:
     """Share of each row in the total of its partition, 0 where nothing was sold.
 
-    The totals are aggregated first and joined back, so that no task holds a whole partition.
+    The totals are aggregated first and joined back, so that no task holds a whole partition. ``total`` gives the
+    total of the whole table where it is known from a smaller one, as a scalar subquery say.
     """
-    if not part:
+    if total is not None:
+        joined = df.withColumn("total_value", total)
+    elif not part:
         # the rows feed the total and the result: they are computed once
         df = materialize(df)
         joined = df.withColumn("total_value", df.agg(total_of(F.col(value))).scalar())

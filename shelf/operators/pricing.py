@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelf.functions.numbers import nonzero
+from shelf.functions.numbers import nonzero, total_of
 from shelf.operators.compare import demand_weight, last_nonzero
 
 # Highest margin of a tier and the discount it gives; the last tier is open.
@@ -346,15 +346,23 @@ def _positive(x: Column) -> Column:
     return F.when(x > 0, x)
 
 
-def pricing_mart(r: DataFrame, benchmark_prefix: str = "platform") -> DataFrame:
+def total_sales(sales: DataFrame, catalogue: DataFrame, states: dict[str, str], wanted: Column) -> Column:
+    """The 90-day sales of all priced products of the ``wanted`` categories, as a scalar: sales joined with the catalogue, without prices."""
+    keys = catalogue.where(wanted).select(F.explode(F.array(*[F.lit(s) for s in states])).alias("state"), "item_code").select(
+        F.concat("state", F.col("item_code").cast("string")).alias("key"))
+    return sales.join(keys, "key").agg(total_of(F.col("sale_90d"))).scalar()
+
+
+def pricing_mart(r: DataFrame, benchmark_prefix: str = "platform", total: Column | None = None) -> DataFrame:
     """The 59-column sheet of priced products other than staples.
 
-    ``<prefix>_mrp`` and ``<prefix>_sp`` are the benchmark platform's prices, where present.
+    ``<prefix>_mrp`` and ``<prefix>_sp`` are the benchmark platform's prices, where present. ``total`` are the sales that
+    demand weights are shares of; without it the priced table is written once to find them.
     """
     c = F.col
     b_mrp = _zero(f"{benchmark_prefix}_mrp") if f"{benchmark_prefix}_mrp" in r.columns else F.lit(0.0)
     b_sp = _zero(f"{benchmark_prefix}_sp") if f"{benchmark_prefix}_sp" in r.columns else F.lit(0.0)
-    df = demand_weight(price_buckets(r), "sale_90d", [])
+    df = demand_weight(price_buckets(r), "sale_90d", [], total)
     text = lambda n: (c(n) if n in r.columns else F.lit("")).alias(n)
     mrp, margin, on_value = c("mrp"), c("margin"), _zero("on_invoice_value")
     return df.select(
@@ -394,10 +402,10 @@ def _city_sp(city: str) -> Column:
     return F.coalesce(F.try_element_at("city_sps", F.lit(city)), F.lit(0.0))
 
 
-def staples_mart(r: DataFrame, platforms: list[str]) -> DataFrame:
-    """The 57-column sheet of priced staples; ``platforms`` names two columns ``<p>_sp``."""
+def staples_mart(r: DataFrame, platforms: list[str], total: Column | None = None) -> DataFrame:
+    """The 57-column sheet of priced staples; ``platforms`` names two columns ``<p>_sp``, ``total`` is as in ``pricing_mart``."""
     c = F.col
-    df = demand_weight(guardrails(r), "sale_90d", [])
+    df = demand_weight(guardrails(r), "sale_90d", [], total)
     text = lambda n: (c(n) if n in r.columns else F.lit("")).alias(n)
     online = [_zero(f"{p}_sp") if f"{p}_sp" in r.columns else F.lit(0.0) for p in platforms[:2]]
     current = _positive(_zero("current_sp"))

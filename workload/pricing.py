@@ -145,8 +145,9 @@ def lines(t: Tables):
 ORDER = ["o1", "o2", "o3"]
 
 
-def _last(df, cols):
-    return df.groupBy("key").agg(F.max_by(F.struct(*cols), F.struct(*ORDER)).alias("r")).select("key", "r.*")
+def _last(df, cols, offered):
+    """The last row of each key that is offered; a key without one has nulls."""
+    return df.groupBy("key").agg(F.max_by(F.struct(*cols), F.when(offered, F.struct(*ORDER))).alias("r")).select("key", "r.*")
 
 
 def key_costs(t: Tables):
@@ -158,12 +159,12 @@ def key_costs(t: Tables):
 
 def promo_lines(t: Tables, kind: str, flag: str):
     value = F.when(F.col("o2") % 2 == 0, F.col("quantity")).otherwise(0.0).alias(f"{kind}_invoice_value")
-    rows = lines(t).where((F.col("flag") == flag) & (F.col("discount") >= 0.08))
-    return _last(rows, [F.col("discount").alias(f"{kind}_invoice_pct"), value])
+    return _last(lines(t), [F.col("discount").alias(f"{kind}_invoice_pct"), value], (F.col("flag") == flag) & (F.col("discount") >= 0.08))
 
 
 def state_benchmarks(t: Tables):
-    offers = a.offers(t).where("category <> 'ECONOMY'").withColumn("sp", F.col("sp") * F.col("pack_size") / 50)
+    # competitors name no price for ECONOMY
+    offers = a.offers(t).withColumn("sp", F.when(F.col("category") != "ECONOMY", F.col("sp") * F.col("pack_size") / 50))
     dim = a.cities(t).select("pincode", F.concat(F.lit("S"), (F.col("pincode") % 3).cast("string")).alias("state"))
     return p.benchmarks(offers, dim)
 
@@ -180,11 +181,12 @@ def sales(t: Tables):
 
 
 def city_table(t: Tables):
-    c = F.col
-    return lines(t).where("type = 'SMALL'").groupBy("key").agg(
-        F.when(F.max("discount") >= 0.1, F.max("mrp") * 0.8).otherwise(0.0).alias("adr_sp"),
-        F.when(F.min("tax") == 0, F.max("mrp") * 0.85).otherwise(0.0).alias("kolkata_sp"),
-        F.when(F.count(c("key")) > 10, F.max("mrp") * 0.88).otherwise(0.0).alias("now_sp"))
+    """City prices of every key: 0 where the cities set none, as for all but SMALL."""
+    c, small = F.col, F.max(F.col("type") == "SMALL")
+    return lines(t).groupBy("key").agg(
+        F.when(small & (F.max("discount") >= 0.1), F.max("mrp") * 0.8).otherwise(0.0).alias("adr_sp"),
+        F.when(small & (F.min("tax") == 0), F.max("mrp") * 0.85).otherwise(0.0).alias("kolkata_sp"),
+        F.when(small & (F.count(c("key")) > 10), F.max("mrp") * 0.88).otherwise(0.0).alias("now_sp"))
 
 
 def overrides(t: Tables):
@@ -193,8 +195,9 @@ def overrides(t: Tables):
 
 def categories(t: Tables):
     order = F.struct(*ORDER).alias("ordinal")
-    off = lines(t).where("flag = 'A'").select("key", F.when(F.col("tax") > 0.06, F.col("type")).otherwise("").alias("category"), order)
-    on = lines(t).where("flag = 'N'").select("key", F.when(F.col("tax") > 0.04, F.col("brand")).otherwise("").alias("category"), order)
+    flag = F.col("flag")
+    off = lines(t).select("key", F.when((flag == "A") & (F.col("tax") > 0.06), F.col("type")).otherwise("").alias("category"), order)
+    on = lines(t).select("key", F.when((flag == "N") & (F.col("tax") > 0.04), F.col("brand")).otherwise("").alias("category"), order)
     return p.first_nonempty([off, on], "key", "category")
 
 
@@ -203,17 +206,19 @@ def base(t: Tables):
     part = t.part
     wh = part.select(c("p_partkey").alias("item_code"), F.concat(F.lit("W"), (c("p_partkey") % 3).cast("string")).alias("warehouse"),
                      (_mrp() * (0.1 * (3 + c("p_partkey") % 7))).alias("inward_cost"), F.lit(0.0).alias("mrp"))
-    guard = lines(t).where("type = 'SMALL'").groupBy("key").agg(
-        F.when(F.max("tax") >= 0.08, "COST_BASED").otherwise("GKM").alias("sku_type"), F.lit(0.1).alias("guardrail_lower"),
-        F.lit(0.3).alias("guardrail_upper"), F.when(F.min("discount") == 0, 0.15).otherwise(0.0).alias("cost_based_markup"),
-        F.when(F.max("discount") >= 0.1, F.max("brand")).otherwise("").alias("category"), (F.max("mrp") * 0.9).alias("current_sp"))
+    # a row for every key; only SMALL is guarded
+    small = F.max(c("type") == "SMALL")
+    guard = lines(t).groupBy("key").agg(
+        F.when(small, F.when(F.max("tax") >= 0.08, "COST_BASED").otherwise("GKM")).alias("sku_type"), F.when(small, 0.1).alias("guardrail_lower"),
+        F.when(small, 0.3).alias("guardrail_upper"), F.when(small, F.when(F.min("discount") == 0, 0.15).otherwise(0.0)).alias("cost_based_markup"),
+        F.when(small & (F.max("discount") >= 0.1), F.max("brand")).otherwise("").alias("category"), F.when(small, F.max("mrp") * 0.9).alias("current_sp"))
     tags = lines(t).groupBy("key").agg(F.when(F.max("quantity") >= 49, "SUPER KVI").when(F.max("quantity") >= 44, "KVI")
                                        .otherwise("NON KVI").alias("kvi_tag"))
     bench = state_benchmarks(t).select(F.concat("state", c("item_code").cast("string")).alias("key"), "benchmark_sp")
     inputs = {
         "costs": key_costs(t), "warehouse_costs": wh, "off_invoice": promo_lines(t, "off", "A"), "on_invoice": promo_lines(t, "on", "N"),
         "tags": tags, "exclusions": part.where("p_size % 10 = 0").select(c("p_partkey").alias("item_code"), c("p_type").alias("exclusion_type")),
-        "map_by_key": _last(lines(t).where("o2 = 7 AND tax > 0.05D"), [(c("mrp") * 0.75).alias("map_price")]),
+        "map_by_key": _last(lines(t), [(c("mrp") * 0.75).alias("map_price")], (c("o2") == 7) & (c("tax") > 0.05)),
         "map_by_item": part.where("p_size % 4 = 0").select(c("p_partkey").alias("item_code"), (_mrp() * 0.6).alias("map_price")),
         "benchmarks": bench, "sales": sales(t), "guardrails": guard, "overrides": overrides(t), "categories": categories(t)}
     return p.pricing_base(catalogue(t), inputs, STATES)
@@ -321,7 +326,8 @@ SELECT key, state, item_code, kvi_tag, category, qty_90d, sale_90d, demand_weigh
  {_case('retention_margin', p.RETENTION_BUCKETS)} AS rm_bucket, CASE WHEN qty_90d > 0 THEN sp * qty_90d END AS sp_x_qty,
  CASE WHEN qty_90d > 0 THEN cost * qty_90d END AS cp_x_qty, sp_equals_mrp, mrp_gte_sp AS mrp_gte_bau, sp_gte_cost AS bau_gte_cost FROM x""")
 def pricing_mart(t: Tables):
-    return p.pricing_mart(p.recommend_prices(base(t)).where("master_category <> 'STPLS'")).select(*MART)
+    total = p.total_sales(sales(t), catalogue(t), STATES, F.col("master_category") != "STPLS")
+    return p.pricing_mart(p.recommend_prices(base(t)).where("master_category <> 'STPLS'"), total=total).select(*MART)
 
 
 @query(views="priced", sql="""SELECT key, state, item_code, display_name, kvi_tag, category, '' AS sub_category, '' AS leaf_category, mrp,
@@ -342,7 +348,8 @@ SELECT key, state, item_code, demand_weight, mrp, greatest(latest_inward_cost, m
  CASE WHEN guardrail_lower <= 0 AND guardrail_upper <= 0 THEN '' WHEN sku_margin < guardrail_lower THEN 'BELOW' WHEN sku_margin > guardrail_upper THEN 'ABOVE'
    ELSE 'OK' END AS guardrail FROM x""")
 def staples_mart(t: Tables):
-    return p.staples_mart(p.recommend_prices(base(t)).where("master_category = 'STPLS'"), ["benchmark", "other"]).select(*STAPLES)
+    total = p.total_sales(sales(t), catalogue(t), STATES, F.col("master_category") == "STPLS")
+    return p.staples_mart(p.recommend_prices(base(t)).where("master_category = 'STPLS'"), ["benchmark", "other"], total).select(*STAPLES)
 
 
 @query(views="priced", sql="""SELECT key, state, item_code, mrp, latest_inward_cost, CASE WHEN current_sp > 0 THEN current_sp END AS current_sp,

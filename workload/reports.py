@@ -212,7 +212,7 @@ def variation_summary(t: Tables):
 
 
 @query(views="offers", sql=f"""
-WITH b AS (SELECT item_code, min(sp) AS best FROM offers WHERE in_stock AND platform <> 'p2' GROUP BY 1),
+WITH b AS (SELECT item_code, min(CASE WHEN in_stock AND platform <> 'p2' AND pack_size % 7 <> 0 THEN sp END) AS best FROM offers GROUP BY 1),
 d AS (SELECT p_brand AS brand, best, best - p_retailprice * 0.93 AS delta FROM part LEFT JOIN b ON item_code = p_partkey),
 c AS (SELECT *, CASE WHEN best IS NULL THEN 'missing' WHEN delta < -0.5 THEN 'cheaper' WHEN delta > 0.5 THEN 'costlier' ELSE 'same' END AS colour FROM d),
 g AS (SELECT brand, count(*) AS total, count(*) FILTER (colour <> 'missing') AS found, count(*) FILTER (colour = 'cheaper') AS cheaper,
@@ -221,7 +221,8 @@ SELECT *, {pct('found', 'total')} AS found_pct FROM g""")
 def delta_summary(t: Tables):
     ref = t.part.select(F.col("p_partkey").alias("item_code"), (F.col("p_retailprice") * 0.93).alias("ref_sp"),
                         F.col("p_retailprice").alias("ref_mrp"))
-    found = a.offers(t).where("in_stock AND platform <> 'p2'")
+    # no price where nothing is in stock, on platform p2, and for some pack sizes on all platforms
+    found = a.offers(t).withColumn("sp", F.when(F.col("in_stock") & (F.col("platform") != "p2") & (F.col("pack_size") % 7 != 0), F.col("sp")))
     # one best price of all cities, as in the SQL
     deltas = compare.delta_vs_reference(ref, found, by=())
     return r.delta_summary(deltas.join(t.part.select(F.col("p_partkey").alias("item_code"),

@@ -272,15 +272,17 @@ def stage_overlap(t: Tables):
 
 
 @query(views="offers live", sql=f"""
-WITH r AS (SELECT DISTINCT pincode, item_code FROM offers WHERE platform <> 'p2' AND in_stock),
-o AS (SELECT pincode, item_code, count(*) AS n, count(*) FILTER (p1_sp IS NOT NULL OR p2_sp IS NOT NULL) AS priced FROM live WHERE p1_status <> 'PARTIAL MATCH' GROUP BY 1, 2),
+WITH r AS (SELECT DISTINCT CAST((pincode + CAST(o2 = 7 AS INTEGER)) % 5 AS INTEGER) AS pincode, item_code FROM offers),
+o AS (SELECT pincode, item_code, count(*) AS n, count(*) FILTER (p1_sp IS NOT NULL AND p1_status <> 'PARTIAL MATCH' OR p2_sp IS NOT NULL) AS priced FROM live GROUP BY 1, 2),
 j AS (SELECT coalesce(r.pincode, o.pincode) AS pincode, r.item_code AS ri, o.item_code AS oi, n, priced FROM r FULL JOIN o ON r.pincode = o.pincode AND r.item_code = o.item_code),
 g AS (SELECT pincode, count(ri) AS ref_items, CAST(coalesce(sum(n), 0) AS BIGINT) AS output_rows, CAST(coalesce(sum(priced), 0) AS BIGINT) AS priced,
   count(*) FILTER (oi IS NULL) AS missing, count(*) FILTER (ri IS NULL) AS extra FROM j GROUP BY 1)
 SELECT *, {pct('priced', 'output_rows')} AS priced_pct FROM g""")
 def completeness(t: Tables):
-    ref = a.offers(t).where("platform <> 'p2' AND in_stock")
-    return q.completeness(ref, a.live(t).where("p1_status <> 'PARTIAL MATCH'"), ["p1_sp", "p2_sp"], ["pincode"])
+    # the reference knows the last line of an order in the next city, so items are missing and extra; a partial match has no price
+    ref = a.offers(t).withColumn("pincode", ((F.col("pincode") + (F.col("o2") == 7).cast("int")) % 5).cast("int"))
+    live = a.live(t).withColumn("p1_sp", F.when(F.col("p1_status") != "PARTIAL MATCH", F.col("p1_sp")))
+    return q.completeness(ref, live, ["p1_sp", "p2_sp"], ["pincode"])
 
 
 @query(views="offers", sql="""SELECT platform, pincode, max(date) AS latest, date_diff('day', max(date), DATE '2001-11-04') AS age_days,
