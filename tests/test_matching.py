@@ -173,6 +173,18 @@ def test_hash_match_is_exact(spark):
     assert got == want
 
 
+def test_probes_count_as_large_as_they_are(spark, tmp_path):
+    # exploded rows pass for as small as what they came from, and would be broadcast by way of the driver
+    spark.range(1000).withColumnRenamed("id", "hash").write.parquet(str(tmp_path / "left"))
+    widths, radii = hashes._widths(4), [2, 2, 2, 2]
+    probes = hashes._probes(spark.read.parquet(str(tmp_path / "left")), "hash", widths, radii)
+    masks = sum(hashes._near(w, r) for w, r in zip(widths, radii))
+    assert probes.count() == 1000 * masks and probes.distinct().count() == 1000 * masks
+    plan = probes._jdf.queryExecution().optimizedPlan()
+    assert int(str(plan.stats().sizeInBytes())) > 1000 * masks
+    assert len(str(plan)) < 5000
+
+
 @pytest.mark.parametrize("bands", hashes.CUTS)
 def test_radii_leave_no_distance_out(bands):
     rng, widths = random.Random(bands), hashes._widths(bands)
