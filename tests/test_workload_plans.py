@@ -35,4 +35,4 @@ def test_a_pricing_run_joins_its_lines_once(tables, monkeypatch):
 
 def test_best_by_score_carries_what_it_returns(tables):
     plan = str(resolve.best_by_score(tables)._jdf.queryExecution().optimizedPlan())
-    assert "p_retailprice" in plan and "p_name" not in plan and "p_size" not in plan
+    assert "own_price" in plan and "own_name" not in plan and "ref_unit" not in plan

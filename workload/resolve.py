@@ -61,7 +61,9 @@ def usable(t: Tables):
 @query(views="matches", sql="""SELECT platform, pincode, item_code, stage, score, own_price FROM matches
 QUALIFY row_number() OVER (PARTITION BY platform, pincode, item_code ORDER BY score DESC, stage, o1, o2, o3) = 1""")
 def best_by_score(t: Tables):
-    return r.best_by_score(a.matches(t), BY, a.MATCH_ORDER).select(*BY, "item_code", "stage", "score", "own_price")
+    # what is not returned is not carried through the aggregate
+    rows = a.matches(t).select(*BY, "item_code", "stage", "score", "own_price", *a.MATCH_ORDER)
+    return r.best_by_score(rows, BY, a.MATCH_ORDER).select(*BY, "item_code", "stage", "score", "own_price")
 
 
 @query(views="matches", sql="""
