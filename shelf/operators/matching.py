@@ -120,6 +120,9 @@ def key_match(offers: DataFrame, ref: DataFrame, key: list[str]) -> DataFrame:
             .withColumn("price_diff_pct", F.when(F.col("match_status") == "ok", diff)).drop("status"))
 
 
+#: Scores below which a round of a cascade stops: profiles that found a listing by then are settled.
+BANDS = (0.85, 0.7, 0.5, 0.0)
+
 # --- brand cascade ----------------------------------------------------------------------------
 
 def brand_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[str] | None = None,
@@ -161,15 +164,8 @@ def brand_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
     cand_cells = (c.where(F.col("c_base") > 0).withColumn("_cell", cells("c_family", F.array(cell(F.col("c_base"), width)))[0])
                   .unionByName(c.join(unsized, brand_key, "left_semi").select(*c.columns, F.lit("*").alias("_cell"))))
 
-    ratio = F.col("c_base") / F.col("_base")
-    unweighted = F.col("_cell") == "*"
-    type_ok = F.col("_typed").isNull() | F.arrays_overlap("_type_words", "c_words")
-    pairs = (salted_join(ref_cells, cand_cells, [*brand_key, "_cell"])
-             .where((unweighted | ratio.between(*weight)) & type_ok)
-             .withColumn("weight_diff", F.when(unweighted, 0.0).otherwise(F.abs(1 - ratio)))
-             .withColumn("score", name_similarity(similarity, F.col("_name"), F.col("c_name"))))
-    best = (_best(pairs, profile, [F.col("weight_diff"), F.col("c_order")])
-            .withColumn("_has_pair", F.lit(True)))
+    best = _best_in_cells(ref_cells.select(*profile, "_typed", "_type_words", "_cell"), cand_cells.withColumn("c_name", F.coalesce("c_name", F.lit(""))),
+                          profile, [*brand_key, "_cell"], similarity, weight).withColumn("_has_pair", F.lit(True))
     resolved = p.select(*profile, "_has_brand").join(best, profile, "left")
     out = r.join(resolved, profile, "left")
 
@@ -192,6 +188,34 @@ def brand_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[st
                          F.coalesce(nonzero(F.col("sp")), nonzero(F.col("mrp"))))
 
 
+def _best_in_cells(ref_cells: DataFrame, cand_cells: DataFrame, profile: list[str], cell_key: list[str], similarity: str,
+                   weight: tuple[float, float]) -> DataFrame:
+    """The best listing of every profile with a pair, among those of its cells.
+
+    A rank join: each two names of a cell are scored once, whatever the types, pack sizes and categories they stand with.
+    Profiles then meet the listings of the best-scored names first; one that finds a listing within a band of scores is settled,
+    as all it has not seen score less.
+    """
+    names = salted_join(ref_cells.select(*cell_key, "_name").distinct(), cand_cells.select(*cell_key, "c_name").distinct(), cell_key)
+    scored = F.when(F.col("c_name") == "", 0.0).otherwise(name_similarity(similarity, F.col("_name"), F.col("c_name")))
+    names = materialize(names.withColumn("score", scored))
+    ratio = F.col("c_base") / F.col("_base")
+    unweighted = F.col("_cell") == "*"
+    type_ok = F.col("_typed").isNull() | F.arrays_overlap("_type_words", "c_words")
+    high, found = float("inf"), []
+    for low in BANDS:
+        near = names.where((F.col("score") >= low) & (F.col("score") < high))
+        high = low
+        pairs = (ref_cells.join(near, [*cell_key, "_name"]).join(cand_cells, [*cell_key, "c_name"])
+                 .where((unweighted | ratio.between(*weight)) & type_ok)
+                 .withColumn("weight_diff", F.when(unweighted, 0.0).otherwise(F.abs(1 - ratio))))
+        best = materialize(_best(pairs, profile, [F.col("weight_diff"), F.col("c_order")]))
+        found.append(best)
+        if low > 0:
+            ref_cells = ref_cells.join(best.select(*profile), profile, "left_anti")
+    return reduce(lambda x, y: x.unionByName(y), found)
+
+
 def barcodes_differ(ref: Column, own: Column) -> Column:
     """Both sides carry a barcode (the listing's has at least 8 characters) and they differ."""
     mine = text.strip(own)
@@ -207,10 +231,6 @@ def barcode_veto(matches: DataFrame, codes: DataFrame) -> DataFrame:
 
 # --- type and price cascade ------------------------------------------------------------------
 
-#: Scores below which a round of the type cascade stops: profiles that found a listing by then are settled.
-BANDS = (0.85, 0.7, 0.5, 0.0)
-
-
 def type_cascade(ref: DataFrame, cand: DataFrame, order: list[str], by: list[str] | None = None,
                  similarity: str = "ratcliff", weight: tuple[float, float] = (0.8, 1.25),
                  min_score: float = 0.50, mrp_tolerance_pct: float = 15.0) -> DataFrame:

@@ -275,3 +275,17 @@ def test_registry_never_deletes(spark):
     batch = spark.createDataFrame([(2, "u3", "y"), (3, "u4", "y"), (1, None, "y")], "item_code long, url string, note string")
     got = {r.item_code: (r.url, r.action) for r in matching.merge_registry(base, batch, ["item_code"], "url").collect()}
     assert got == {1: ("u1", "kept"), 2: ("u3", "changed"), 3: ("u4", "added")}
+
+
+def test_brand_cascade_ranks_only_the_best_scored_names(spark, monkeypatch):
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(20)]
+    ref = spark.createDataFrame([(i, n, "acme", "soap", "g", 100.0 + i % 3, 10.0, 10.0, "") for i, n in enumerate(names)],
+                                "item_code long, name string, brand string, product_type string, unit string, unit_value double, mrp double, sp double, barcode string")
+    cand = spark.createDataFrame([(i, n, "acme", "soap", "101 g", 10.0, 10.0, "") for i, n in enumerate(names)],
+                                 "product_id long, name string, brand string, category string, unit string, price double, mrp double, barcode string")
+    best, met = matching._best, []
+    monkeypatch.setattr(matching, "_best", lambda pairs, *rest: met.append(pairs.count()) or best(pairs, *rest))
+    rows = matching.brand_cascade(ref, cand, ["product_id"], similarity="levenshtein").collect()
+    assert all((r.reason, r.score, r.product_id) == ("matched", 1.0, r.item_code) for r in rows) and len(rows) == 20
+    assert sum(met) < 40  # all pairs are 400
