@@ -289,3 +289,13 @@ def test_brand_cascade_ranks_only_the_best_scored_names(spark, monkeypatch):
     rows = matching.brand_cascade(ref, cand, ["product_id"], similarity="levenshtein").collect()
     assert all((r.reason, r.score, r.product_id) == ("matched", 1.0, r.item_code) for r in rows) and len(rows) == 20
     assert sum(met) < 40  # all pairs are 400
+
+
+def test_id_then_fuzzy_carries_numbers_through_its_pairs(spark, monkeypatch):
+    ref = spark.createDataFrame([(1, "red soap", "acme", 9.0, None)], "item_code long, name string, brand string, sp double, ref_product_id string")
+    cand = spark.createDataFrame([(i, None, n, "acme", "1 g", 9.0, 9.0, "") for i, n in enumerate(["blue soap", "red soap"])],
+                                 "seq long, product_id string, name string, brand string, unit string, price double, mrp double, barcode string")
+    best, kinds = matching._best, []
+    monkeypatch.setattr(matching, "_best", lambda pairs, *rest: kinds.append(pairs.schema["own"].dataType.typeName()) or best(pairs, *rest))
+    row = matching.id_then_fuzzy(ref, cand, ["seq"], similarity="token_jaccard").first()
+    assert (row.reason, row.own_name) == ("matched", "red soap") and kinds == ["long"]
