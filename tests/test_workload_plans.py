@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from workload import pricing, resolve
+from workload import adapters, pricing, resolve
 from workload.base import Tables
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -36,3 +36,26 @@ def test_a_pricing_run_joins_its_lines_once(tables, monkeypatch):
 def test_best_by_score_carries_what_it_returns(tables):
     plan = str(resolve.best_by_score(tables)._jdf.queryExecution().optimizedPlan())
     assert "own_price" in plan and "own_name" not in plan and "ref_unit" not in plan
+
+
+def test_live_joins_the_items_after_the_lines_are_summed_up(tables):
+    plan = str(adapters.live(tables)._jdf.queryExecution().optimizedPlan())
+    assert plan.index("Join") < plan.index("Aggregate") and plan.count("Join") == 1
+
+
+def test_live_shows_the_last_offer_of_the_latest_date(spark, tmp_path):
+    old, new = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 2, 1)
+    lines = [(1, 1, 0, 1, 1.0, 1.0, 0.1, 0.0, "N", "O", old), (2, 1, 0, 1, 1.0, 1.0, 0.5, 0.05, "N", "O", new), (3, 1, 0, 1, 1.0, 1.0, 0.2, 0.09, "N", "O", new),
+             (4, 1, 10, 1, 1.0, 1.0, 0.3, 0.0, "N", "O", old), (5, 1, 5, 1, 1.0, 1.0, 0.3, 0.0, "R", "O", new), (9, 1, 0, 1, 1.0, 1.0, 0.4, 0.0, "N", "O", None),
+             (6, 2, 0, 1, 1.0, 1.0, 0.3, 0.0, "N", "O", None), (7, None, 0, 1, 1.0, 1.0, 0.3, 0.0, "N", "O", new), (8, 3, 0, 1, 1.0, 1.0, 0.3, 0.0, "N", "O", new)]
+    parts = [(1, "hot bolt", "b", "SMALL", 1, 100.0), (1, "hot bolt", "b", "SMALL", 1, 100.0), (2, "cold nut", "b", "SMALL", 1, 100.0), (None, "x", "b", "SMALL", 1, 100.0)]
+    spark.createDataFrame(lines, LINE).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(parts, PART).write.parquet(str(tmp_path / "part.parquet"))
+    rows = {r.item_code: r for r in adapters.live(Tables(spark, str(tmp_path))).collect()}
+    assert sorted(rows) == [1, 2]
+    # p0: line 3 is the last of the latest date; p1: its line 4 is older; p2: its line 5 is not in stock
+    assert (rows[1].date, rows[1].product_name, rows[1].am_mrp) == (new.date(), "hot bolt", 100.0)
+    assert (rows[1].p0_sp, rows[1].p0_mrp, rows[1].p0_status) == (80.0, 100.0, "SEMI COMPLETE MATCH")
+    assert [rows[1][f"{p}_{x}"] for p in ("p1", "p2") for x in ("sp", "mrp", "status")] == [None, None, "NA"] * 2
+    # without any date nothing is shown
+    assert [v for k, v in rows[2].asDict().items() if k not in ("pincode", "item_code")] == [None] * 14
