@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelf.functions.numbers import nonzero, round_to
 from shelf.functions.text import clean_text
+from shelf.session import materialize
 
 LIVE_PARTITION = ["pincode"]
 HISTORY_PARTITION = ["date", "pincode"]
@@ -43,10 +44,42 @@ def write_by_state(df: DataFrame, path: str) -> None:
 
 
 def upsert_latest(base: DataFrame, batch: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Latest row per key of base and batch; the batch wins on equal times."""
+    """Latest row per key of base and batch; the batch wins on equal times, and of one table's equal times the greatest row."""
+    return _latest(_both(base, batch), base, keys, ts)
+
+
+def _both(base: DataFrame, batch: DataFrame) -> DataFrame:
+    return base.withColumn("_new", F.lit(0)).unionByName(batch.select(*base.columns).withColumn("_new", F.lit(1)))
+
+
+def _latest(both: DataFrame, base: DataFrame, keys: list[str], ts: str, *also: str) -> DataFrame:
+    """``also``: columns that follow from the keys and by which the rows are spread already."""
     rest = [c for c in base.columns if c not in keys]
-    both = base.withColumn("_new", F.lit(0)).unionByName(batch.select(*base.columns).withColumn("_new", F.lit(1)))
-    return (both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, "_new")).alias("r")).select(*keys, "r.*"))
+    if any("map<" in base.schema[c].dataType.simpleString() for c in rest):  # maps have no order
+        latest = F.max_by(F.struct(*rest), F.struct(ts, "_new"))
+    else:  # each value goes through the aggregate once, the time too
+        latest = F.max(F.struct(ts, "_new", *[c for c in rest if c != ts]))
+    return both.groupBy(*keys, *also).agg(latest.alias("r")).select(*keys, *[F.col(f"r.`{c}`") for c in rest])
+
+
+#: Rows of a table partition that one task merges and writes.
+PIECE_ROWS = 1 << 20
+
+
+def merge_history(base: DataFrame, batch: DataFrame, path: str, keys: list[str], ts: str, piece_rows: int = PIECE_ROWS) -> None:
+    """Replace the (date, pincode) partitions of base and batch by the latest row per key.
+
+    The rows are shuffled once, to where they are merged and written: a partition of more than ``piece_rows`` rows goes to
+    several tasks by a hash of the keys. Base may be read from ``path``: the new files are staged, and the old ones go when all tasks are done.
+    """
+    if not {*HISTORY_PARTITION} <= {*keys}:  # a key may lie in several partitions
+        return write_history(upsert_latest(base, batch, keys, ts), path)
+    both = _both(base, batch)
+    large = materialize(both.groupBy(*[F.col(c).alias(f"_{c}") for c in HISTORY_PARTITION]).agg(F.ceil(F.count("*") / piece_rows).alias("_pieces")).where("_pieces > 1"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in HISTORY_PARTITION]
+    placed = both.join(large, same, "left").withColumn("_piece", F.pmod(F.xxhash64(*keys), F.coalesce("_pieces", F.lit(1))))
+    latest = _latest(placed.repartition(*HISTORY_PARTITION, "_piece"), base, keys, ts, "_piece")
+    latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*HISTORY_PARTITION).parquet(path)
 
 
 def incremental_since(df: DataFrame, date: str, hwm: str | None) -> DataFrame:

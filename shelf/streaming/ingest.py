@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from shelf.session import materialize
-from shelf.sources.tables import HISTORY_PARTITION, upsert_latest, write_history
+from shelf.sources.tables import HISTORY_PARTITION, merge_history
 
 
 def ingest_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str,
@@ -31,16 +30,12 @@ def ingest_stream(spark: SparkSession, source: str, schema: StructType, target:
 
 
 def merge_batch(batch: DataFrame, target: str, keys: list[str], ts: str) -> None:
-    spark = batch.sparkSession
+    spark, old = batch.sparkSession, batch.limit(0)
     if table_exists(spark, target):
         touched = batch.select(*HISTORY_PARTITION).distinct()
         # joined on the partition columns, so only the touched partitions are read
         old = spark.read.schema(batch.schema).parquet(target).join(touched, HISTORY_PARTITION, "left_semi")
-        batch = upsert_latest(old.select(*batch.columns), batch, keys, ts)
-    else:
-        batch = upsert_latest(batch.limit(0), batch, keys, ts)
-    # the partitions read are the ones replaced, so the merged rows are written out first
-    write_history(materialize(batch), target)
+    merge_history(old.select(*batch.columns), batch, target, keys, ts)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

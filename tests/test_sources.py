@@ -58,6 +58,28 @@ def test_stream_merges_batches(spark, tmp_path):
     assert got == [(1, "a", 2.0), (1, "c", 3.0), (2, "b", 5.0)]
 
 
+def test_history_is_merged_in_pieces_of_large_partitions(spark, tmp_path):
+    path, keys = str(tmp_path / "history"), ["date", "pincode", "item_code"]
+    day = F.lit("2026-01-01").cast("date")
+
+    def rows(n, at):
+        return spark.range(n).select(day.alias("date"), F.when(F.col("id") < 40, 1).otherwise(2).alias("pincode"), F.col("id").alias("item_code"),
+                                     F.lit(at).alias("at"), (F.col("id") * at).alias("sp"))
+
+    first, small = rows(44, 2), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")  # as pieces of few bytes share a task otherwise
+    tables.merge_history(first.limit(0), first, path, keys, "at", piece_rows=10)
+    spark.conf.unset(small)
+    files = {p: len(list((tmp_path / "history").glob(f"date=*/pincode={p}/*.parquet"))) for p in (1, 2)}
+    assert files[1] > 1 and files[2] == 1
+    # read from where it is written; a late row loses, an equal time replaces
+    old = spark.read.schema(first.schema).parquet(path)
+    tables.merge_history(old.select(*first.columns), rows(2, 1).unionByName(rows(45, 3).where("item_code >= 43")), path, keys, "at", piece_rows=10)
+    got = {r.item_code: (r.pincode, r["at"], r.sp) for r in tables.read_table(spark, path).collect()}
+    assert got == {i: (1 if i < 40 else 2, 3 if i > 42 else 2, i * (3 if i > 42 else 2)) for i in range(45)}
+    assert tables.read_table(spark, path).count() == 45
+
+
 def test_wide_table_has_47_columns(spark):
     master = spark.createDataFrame([("1", "tea")], "Item_Code string, Item_Name string").select(
         *[F.col(c) if c in ("Item_Code", "Item_Name") else F.lit(None).cast("string").alias(c) for c in tables.WIDE_BASE])
