@@ -18,6 +18,8 @@ from shelf.session import materialize
 BUCKETS = 1 << 18
 #: Labelled documents that the fit reads at most, and bytes of their features, taken by the order of a hash of their id; scoring has no bound.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 48 << 20
+#: Entries of the sample that a step of the fit works on, and bytes of features that the driver fetches at a time.
+CHUNK, FETCH_BYTES = 1 << 19, 4 << 20
 #: A text is kept where its calibrated probability of being good is at least this.
 KEEP = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -115,21 +117,38 @@ class Model:
         return self.bias + float(self.weights[chars].mean(dtype=float) + self.weights[whole].sum(dtype=float) / len(words))
 
 
+def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of runs of rows of about ``CHUNK`` entries, or of one longer row."""
+    cuts, held = [0], 0
+    for k, n in enumerate(sizes):
+        if held and held + n > CHUNK:
+            cuts.append(k)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], len(sizes)]))
+
+
 def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Adagrad over the whole sample; classes weigh the same."""
-    index = np.concatenate([i for i, _ in rows])
-    value = np.concatenate([v for _, v in rows])
+    """Adagrad over the whole sample; classes weigh the same. A chunk of rows at a time, added up in the order of the rows."""
     sizes = np.array([len(i) for i, _ in rows])
-    filled = sizes > 0
-    first = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
+    chunks = _chunks(sizes)
     weigh = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w, b, margin = np.zeros(BUCKETS, np.float32), 0.0, np.zeros(len(rows))
-    squares, square_b = np.full(BUCKETS, 1e-10), 1e-10
+    squares, square_b, every = np.full(BUCKETS, 1e-10), 1e-10, np.arange(BUCKETS)
     for _ in range(rounds):
-        # the entries of a row are neighbours
-        margin[filled] = np.add.reduceat(value * w[index], first) if len(index) else 0.0
+        g = np.zeros(BUCKETS)
+        # rows' margins need the weights of the round only, so one pass does for both
+        for first, end in chunks:
+            part, filled = sizes[first:end], sizes[first:end] > 0
+            index = np.concatenate([i for i, _ in rows[first:end]])
+            value = np.concatenate([v for _, v in rows[first:end]])
+            # the entries of a row are neighbours
+            margin[first:end][filled] = np.add.reduceat(value * w[index], np.concatenate([[0], np.cumsum(part[filled])[:-1]])) if len(index) else 0.0
+            off = ((1 / (1 + np.exp(-np.clip(margin[first:end] + b, -30, 30))) - y[first:end]) * weigh[first:end]).astype(np.float32)
+            # begins with the sums so far
+            g = np.bincount(np.concatenate([every, index]), np.concatenate([g, value * np.repeat(off, part)]), BUCKETS)
         off = (1 / (1 + np.exp(-np.clip(margin + b, -30, 30))) - y) * weigh
-        g = np.bincount(index, value * np.repeat(off.astype(np.float32), sizes), BUCKETS) + ridge * w
+        g += ridge * w
         squares += g * g
         w -= (0.5 * g / np.sqrt(squares)).astype(np.float32)
         square_b += off.sum() ** 2
@@ -188,10 +207,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k")
     one = texts.groupBy("_k").agg(F.min("_t").alias("_t"), F.min("_y").alias("_y"))
     hashed = materialize(one.select("_k", "_y", row_udf(_make_features, "i binary, v binary", binary=True)("_t").alias("f")).select("_k", "_y", "f.i", "f.v"))
-    # at most ``most`` rows
-    held = F.sum(F.octet_length("i") + F.octet_length("v")).over(Window.orderBy(F.xxhash64("_k"), "_k"))
-    fit_rows = hashed.withColumn("_held", held).where(F.col("_held") <= most_bytes).select("_k", "_y", "i", "v").collect()
-    rows = sorted(fit_rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[2]))
+    # at most ``most`` rows of three numbers
+    sizes = hashed.select("_k", (F.octet_length("i") + F.octet_length("v")).alias("_n"))
+    held = F.sum("_n").over(Window.orderBy(F.xxhash64("_k"), "_k"))
+    last = sizes.withColumn("_held", held).where(F.col("_held") <= most_bytes).select("_k", "_held").collect()
+    if not last:
+        return None
+    taken = sizes.sparkSession.createDataFrame([(r[0],) for r in last], hashed.select("_k").schema)
+    # fetched a few at a time, so that the driver's JVM never holds the sample
+    parts = -(-last[-1]["_held"] // FETCH_BYTES) or 1
+    fit_rows = hashed.join(F.broadcast(taken), "_k").select("_k", "_y", "i", "v").repartition(int(parts), "_k").toLocalIterator()
+    rows = sorted(fit_rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0]), r[1]))
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for _, y, i, v in rows])
 
 

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from shelf.llm import quality_rules, queries
 from tests.llm.helpers import SMALL, TINY_TEXTS, frame, table, words
 
@@ -121,3 +123,15 @@ def test_edges(spark):
     model = quality_rules.train(table(spark, "documents"), table(spark, "labels"))
     assert quality_rules.judge(docs.limit(0), model).count() == 0
     assert {r.rules.kept for r in quality_rules.judge(docs, model).where("doc_id IS NULL").collect()} <= {True, False}
+
+
+def test_small_steps_fit_the_same_model(spark, monkeypatch):
+    """The driver fetches the sample in parts and fits it by chunks: whatever their sizes, the sums are made in the same order."""
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    whole = quality_rules.train(docs, labels)
+    monkeypatch.setattr(quality_rules, "CHUNK", 3000)
+    monkeypatch.setattr(quality_rules, "FETCH_BYTES", 100_000)
+    parts = quality_rules.train(docs, labels)
+    assert whole is not None and np.array_equal(whole.weights, parts.weights)
+    assert (whole.bias, whole.slope, whole.shift) == (parts.bias, parts.slope, parts.shift)
+    assert quality_rules.train(docs, labels, most_bytes=0) is None
