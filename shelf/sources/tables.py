@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StringType
 
 from shelf.functions.numbers import nonzero, round_to
-from shelf.functions.text import clean_text
+from shelf.functions.text import MISSING, clean_text
 from shelf.session import materialize
 
 LIVE_PARTITION = ["pincode"]
@@ -98,8 +99,17 @@ WIDE_FIELDS = ["Product_Url", "Product_Id", "Item_Name", "Uom", "Mrp_Price", "Se
 WIDE_BASE = ["Date", "City", "Pincode", "Item_Code", "Item_Name", "Brand", "Product_Type", "Unit", "Unit_Value", "Mrp", "Image_Link"]
 
 
-def _or_na(c: Column) -> Column:
-    return F.coalesce(clean_text(c.cast("string")), F.lit("NA"))
+def _or_na(c: Column, kind: DataType | None = None) -> Column:
+    """``kind``: the type, where it is known; only texts have blanks to strip."""
+    if kind is None or isinstance(kind, StringType):
+        return F.coalesce(clean_text(c.cast("string")), F.lit("NA"))
+    shown = c.cast("string")
+    return F.when(~F.lower(shown).isin(MISSING), shown).otherwise("NA")
+
+
+def _given(c: Column) -> Column:
+    """As ``_or_na``, but null where there is no text at all, so that another one takes its place."""
+    return F.when(c.isNotNull() & (c != ""), _or_na(c))
 
 
 def wide_price_table(master: DataFrame, mappings: DataFrame, prices: DataFrame, platforms: list[str],
@@ -110,8 +120,11 @@ def wide_price_table(master: DataFrame, mappings: DataFrame, prices: DataFrame,
     product_url, name, status, method, factor) hold for all cities, ``prices`` (pincode, item_code,
     platform, selling_price, mrp, in_stock, name) for one; ``by=()`` means prices without a city.
     """
-    m = F.struct("product_url", "product_id", F.col("name").alias("m_name"), F.col("status").alias("m_status"), "method", "factor")
-    p = F.struct("selling_price", "mrp", "in_stock", F.col("name").alias("p_name"))
+    # what a mapping says is made ready once per item, not once per item and city
+    clean = {c: _or_na(F.col(c), mappings.schema[c].dataType).alias(c) for c in ("product_url", "product_id", "method")}
+    m = F.struct(clean["product_url"], clean["product_id"], _given(F.col("name")).alias("m_name"), _given(F.col("status")).alias("m_status"), clean["method"],
+                 F.when(F.col("factor").isNotNull(), _or_na(F.col("factor"))).alias("factor"))
+    p = F.struct("selling_price", "mrp", _or_na(F.col("in_stock"), prices.schema["in_stock"].dataType).alias("in_stock"), _or_na(F.col("name")).alias("p_name"))
     mapped = (mappings.groupBy(F.col("item_code").alias("_m_item")).pivot("platform", platforms).agg(F.first(m))
               .withColumnsRenamed({x: f"_m_{x}" for x in platforms}))
     priced = (prices.groupBy(F.col("item_code").alias("_p_item"), *[F.col(b).alias(f"_p_{b}") for b in by])
@@ -123,13 +136,13 @@ def wide_price_table(master: DataFrame, mappings: DataFrame, prices: DataFrame,
         mapping, offer = F.col(f"`_m_{platform}`"), F.col(f"`_o_{platform}`")
         sp, mrp = nonzero(offer["selling_price"]), nonzero(offer["mrp"])
         discount = round_to((1 - sp / mrp) * 100, 1)
-        status = F.coalesce(F.nullif(mapping["m_status"], F.lit("")), F.when(offer.isNotNull(), "Complete Match"))
-        return [mapping["product_url"], mapping["product_id"], F.coalesce(F.nullif(mapping["m_name"], F.lit("")), offer["p_name"]), F.lit("NA"),
-                offer["mrp"], offer["selling_price"], discount, F.lit("NA"), offer["in_stock"], status, mapping["method"],
-                F.coalesce(mapping["factor"], F.lit("1"))]
+        status = F.coalesce(mapping["m_status"], F.when(offer.isNotNull(), "Complete Match"))
+        return [mapping["product_url"], mapping["product_id"], F.coalesce(mapping["m_name"], offer["p_name"]), F.lit("NA"),
+                _or_na(offer["mrp"], prices.schema["mrp"].dataType), _or_na(offer["selling_price"], prices.schema["selling_price"].dataType),
+                _or_na(discount, DoubleType()), F.lit("NA"), offer["in_stock"], status, mapping["method"], F.coalesce(mapping["factor"], F.lit("1"))]
 
-    columns = [_or_na(v).alias(f"{p}_{f}") for p in platforms for f, v in zip(WIDE_FIELDS, values(p))]
-    return joined.select(*[_or_na(F.col(c)).alias(c) for c in WIDE_BASE], *columns)
+    columns = [F.coalesce(v, F.lit("NA")).alias(f"{p}_{f}") for p in platforms for f, v in zip(WIDE_FIELDS, values(p))]
+    return joined.select(*[_or_na(F.col(c), joined.select(c).schema[0].dataType).alias(c) for c in WIDE_BASE], *columns)
 
 
 def write_wide(df: DataFrame, path: str) -> None:

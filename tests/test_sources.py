@@ -58,6 +58,26 @@ def test_stream_merges_batches(spark, tmp_path):
     assert got == [(1, "a", 2.0), (1, "c", 3.0), (2, "b", 5.0)]
 
 
+def test_wide_table_cleans_mappings_once_per_item(spark):
+    master = spark.createDataFrame([(1, " tea ", c, 2.0) for c in (1, 2)], "Item_Code long, Item_Name string, Pincode int, Mrp double").select(
+        *[F.col(c) if c in ("Item_Code", "Item_Name", "Pincode", "Mrp") else F.lit(None).cast("string").alias(c) for c in tables.WIDE_BASE])
+    mappings = spark.createDataFrame([(1, "x", 7, " u ", " nan", " ", " seed", " "), (1, "y", None, None, "", None, None, None)],
+                                     "item_code long, platform string, product_id long, product_url string, name string, status string, method string, factor string")
+    prices = spark.createDataFrame([(1, 1, p, 90.0, float("nan"), " yes ", " n ") for p in "xy"],
+                                   "item_code long, pincode int, platform string, selling_price double, mrp double, in_stock string, name string")
+    out = tables.wide_price_table(master, mappings, prices, ["x", "y"])
+    one, two = ([r[f"{p}_{f}"] for p in "xy" for f in tables.WIDE_FIELDS] for r in out.orderBy("Pincode").collect())
+    assert one == ["u", "7", "NA", "NA", "NA", "90.0", "NA", "NA", "yes", "NA", "seed", "NA",
+                   "NA", "NA", "n", "NA", "NA", "90.0", "NA", "NA", "yes", "Complete Match", "NA", "1"]
+    assert two == ["u", "7", "NA", "NA", "NA", "NA", "NA", "NA", "NA", "NA", "seed", "NA", *["NA"] * 11, "1"]
+    assert [(r.Item_Code, r.Item_Name, r.Mrp) for r in out.collect()] == [("1", "tea", "2.0")] * 2
+    # above the joins only the items' own texts are stripped
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    plan = str(out._jdf.queryExecution().optimizedPlan())
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "regexp_replace(_m_" not in plan and "regexp_replace(cast(_o_" not in plan and "regexp_replace(coalesce" not in plan
+
+
 def test_history_is_merged_in_pieces_of_large_partitions(spark, tmp_path):
     path, keys = str(tmp_path / "history"), ["date", "pincode", "item_code"]
     day = F.lit("2026-01-01").cast("date")
