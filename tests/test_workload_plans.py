@@ -59,3 +59,20 @@ def test_live_shows_the_last_offer_of_the_latest_date(spark, tmp_path):
     assert [rows[1][f"{p}_{x}"] for p in ("p1", "p2") for x in ("sp", "mrp", "status")] == [None, None, "NA"] * 2
     # without any date nothing is shown
     assert [v for k, v in rows[2].asDict().items() if k not in ("pincode", "item_code")] == [None] * 14
+
+
+def test_listings_of_groups_are_the_listings(spark, tmp_path):
+    parts = [(1, "hot bolt", "B1", "SMALL", 10, 900.0), (1, "hot bolt", "B1", "SMALL", 10, 950.0), (2, "ring", None, "LARGE", 30, -5.0),
+             (3, None, "B2", None, None, None), (None, "x", "y", "z", 1, 1.0)]
+    lines = [(o, p, s, 1, 1.0, 1.0, d, 0.0, "A", "O", None) for o, (p, s, d) in enumerate(
+        (p, s, d) for p in (1, 2, 3, 4, None) for s in (0, 1, 4, None) for d in (0.05, 0.1, None, float("nan"), 0.0) if not (s == 1 and d is not None))]
+    spark.createDataFrame(parts, PART).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(lines, LINE).write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    groups = adapters.listings_of_groups(t)
+    rows, before = (sorted(map(repr, df.collect())) for df in (groups.select(*adapters.listings(t).columns), adapters.listings(t)))
+    assert rows and rows == before
+    # no text is held by what groups the lines
+    plan = str(groups._jdf.queryExecution().optimizedPlan())
+    lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+    assert "l_discount" in lowest and "p_name" not in lowest

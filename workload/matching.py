@@ -118,12 +118,12 @@ SELECT item_code, reason, {r3('coalesce(sc, 0)')} AS score, {OWN},
 
 @query(views="refs listings", sql=type_sql(lev))
 def type_cascade(t: Tables):
-    return m.type_cascade(a.refs(t), _listings(t), ORDER, similarity="levenshtein")
+    return m.type_cascade(a.refs(t), a.listings_of_groups(t), ORDER, similarity="levenshtein")
 
 
 @query()
 def type_cascade_ratcliff(t: Tables):
-    return m.type_cascade(a.refs(t), _listings(t), ORDER)
+    return m.type_cascade(a.refs(t), a.listings_of_groups(t), ORDER)
 
 
 LISTING_UNITS = "g|gm|gms|kg|kgs|ml|mls|l|ltr|ltrs|pc|pcs|piece|pieces|unit|units|n|nos"
