@@ -18,6 +18,8 @@ CACHED, CACHED_LENGTH = 250_000, 64
 CACHED_CHARACTERS = 5_000_000
 #: A word of Latin letters that the tokenizers' patterns take as one piece, and one stop after it that they take as another.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: What ``WordIds`` takes as one piece behind such a word: a run of ASCII symbols, however long.
+SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,7 +46,7 @@ class WordIds:
     """Ids of texts as little-endian integers, for tokenizers that drop white space and lower-case the rest.
 
     As no piece reaches over white space, the ids of a text are those of its words in turn. Plain
-    words go straight to the tokenizer's model, once for all the cases and stops that they are written with; any other
+    words go straight to the tokenizer's model, once for all the cases and symbols behind them that they are written with; any other
     word goes through the whole tokenizer. Words are kept until they have ``CACHED_CHARACTERS``, then forgotten.
     """
 
@@ -71,11 +73,11 @@ class WordIds:
         return ids
 
     def _learn(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            ids = self._stem(word.lower())
-        elif match := PLAIN.fullmatch(word):
-            stem, stop = match.groups()
-            ids = self._stem(stem.lower()) + self._stem(stop) if stop else self._stem(stem.lower())
+        stem = word.rstrip(SYMBOLS)
+        if stem.isalpha() and (stem.isascii() or PLAIN.fullmatch(stem)):
+            ids = self._stem(stem.lower())
+            if len(stem) < len(word):
+                ids += self._stem(word[len(stem):])
         else:
             ids = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self.words[word] = ids
@@ -85,12 +87,11 @@ class WordIds:
     def encode(self, text: str) -> bytes:
         words, held = text.replace("\n", " ").split(" "), self.words
         ids = list(map(held.get, words))
-        if None in ids:
-            for i in [i for i, found in enumerate(ids) if found is None]:
-                found = held.get(words[i])
-                ids[i] = self._learn(words[i]) if found is None else found
-            if self.characters > CACHED_CHARACTERS:
-                self.words, self.stems, self.characters = {}, {}, 0
+        for i in [i for i, found in enumerate(ids) if found is None]:
+            found = held.get(words[i])
+            ids[i] = self._learn(words[i]) if found is None else found
+        if self.characters > CACHED_CHARACTERS:
+            self.words, self.stems, self.characters = {}, {}, 0
         return b"".join(ids)
 
 

@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 
 import numpy as np
@@ -33,6 +34,15 @@ def test_word_ids_equal_whole_texts(spark):
         assert np.frombuffer(words.encode(text), words.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_words_with_symbols_behind_need_the_model_only():
+    whole, words, r = Tokenizer.from_file(VOCABULARY), WordIds(VOCABULARY), random.Random(4)
+    words.tokenizer = None
+    stems = ["a", "The", "heat", "ÜBÜNG", "qué", "naïve", "schließ", "Thereinble"]
+    runs = [*string.punctuation, "$$$", ",***", ".&&&", "<|", "|>", *["".join(r.choices(string.punctuation, k=r.randint(2, 9))) for _ in range(500)]]
+    for text in [" ".join(stem + run for stem in stems) for run in runs]:
+        assert np.frombuffer(words.encode(text), words.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_query(spark):
     whole, start = Tokenizer.from_file(VOCABULARY), 0
     rows = sorted(queries.op1_token_files(spark, SMALL).collect(), key=lambda r: r.doc_id)
