@@ -198,11 +198,12 @@ class Encoder(Recent):
 
     Where no piece holds two neighbouring characters all paths meet between them, so the parts on
     either side can be searched on their own, and once for all their occurrences. Such a place
-    lies before each run of spaces, as no piece has a space after another character.
+    lies before each run of spaces, as no piece has a space after another character. At most
+    twice ``cached`` words and parts are remembered: 250,000 take some 80 MB, 40,000 some 20 MB and half as much time again.
     """
 
-    def __init__(self, path: str):
-        super().__init__(CACHED, CACHED_LENGTH)
+    def __init__(self, path: str, cached: int = CACHED):
+        super().__init__(cached, CACHED_LENGTH)
         self.vocabulary = Vocabulary(path)
         self.kind = np.dtype("<u2" if len(self.vocabulary.raw) <= 1 << 16 else "<u4")
         self.coded = Coded(self.vocabulary, self.kind)
@@ -248,8 +249,8 @@ def raw_pieces(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return found
 
 
-def _make_encode(path: str):
-    held = Encoder(path)
+def _make_encode(path: str, cached: int):
+    held = Encoder(path, cached)
 
     def apply(text: str | None) -> tuple:
         ids = held.encode(text or "")
@@ -268,15 +269,15 @@ def _make_decode(path: str):
     return apply
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", count: str = "n_pieces") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "piece_ids", count: str = "n_pieces", cached: int = CACHED) -> DataFrame:
     """``docs`` with the piece ids of every whole text and their number.
 
     The ids are those of the model's own encoder: the space before the text is added, characters
     without a piece become their bytes. Null and empty texts have no ids. Columns of these names
-    are replaced; all rows and other columns stay.
+    are replaced; all rows and other columns stay. ``cached`` trades a task's memory for time, see ``Encoder``.
     """
     bounded_batches(docs.sparkSession)
-    done = row_udf(partial(_make_encode, model), "ids array<int>, n bigint")(F.col(text))
+    done = row_udf(partial(_make_encode, model, cached), "ids array<int>, n bigint")(F.col(text))
     return docs.withColumn(ids, done).withColumn(count, F.col(ids)["n"]).withColumn(ids, F.col(ids)["ids"])
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import sentencepiece
 
 from shelf.llm import pieces, queries
-from tests.llm.helpers import SMALL, TINY_TEXTS, frame, path, table
+from tests.llm.helpers import SMALL, TINY_TEXTS, frame, path, table, texts
 
 MODEL = path("piece_bpe_32k.model")
 ODD = ["", "  a  b ", "x\ty", "😀 é é ▁x ▁", "a" * 700 + "b" * 90, " ", "\n\n", "日本語 テスト", "   lead", "trail   "]
@@ -52,3 +52,11 @@ def test_edges(spark):
     assert all(r.decoded == (r.text or "").replace("▁", " ") for r in got.values())
     assert pieces.encode(docs.limit(0), MODEL).count() == 0
     assert pieces.decode(docs.selectExpr("doc_id", "cast(null as array<int>) as piece_ids"), MODEL).where("decoded IS NOT NULL").count() == 0
+
+
+def test_a_smaller_cache_gives_the_same_ids(spark):
+    small, large = pieces.Encoder(MODEL, cached=50), pieces.Encoder(MODEL)
+    for text in texts(spark, 60):
+        assert small.encode(text or "") == large.encode(text or "")
+        assert len(small) + len(small.older) <= 100
+    assert len(large) > 100

@@ -48,3 +48,9 @@ def test_each_stage_takes_any_rows(spark):
             ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect())
             # 8 and 9 are copies, and so are the rows without a key and the repeated row
             assert ids == [-1, *[i for i in range(len(texts)) if i != 9]]
+
+
+def test_encoding_and_decoding_run_one_after_the_other(spark):
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = pipeline.encoded(spark, docs, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
