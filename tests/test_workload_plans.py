@@ -76,3 +76,12 @@ def test_listings_of_groups_are_the_listings(spark, tmp_path):
     plan = str(groups._jdf.queryExecution().optimizedPlan())
     lowest = [line for line in plan.splitlines() if "Aggregate" in line][-1]
     assert "l_discount" in lowest and "p_name" not in lowest
+
+
+def test_pricing_inputs_are_merged_not_broadcast(tables):
+    t = Tables(tables.spark, tables.sf_dir)
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in shown(pricing._joined_lines(t))
+    # nations and regions alone are a fixed dimension
+    plan = shown(pricing.base(t))
+    assert plan.count("BroadcastExchange") == 2 and plan.count("SortMergeJoin") >= 14
