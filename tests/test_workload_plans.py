@@ -85,3 +85,10 @@ def test_pricing_inputs_are_merged_not_broadcast(tables):
     # nations and regions alone are a fixed dimension
     plan = shown(pricing.base(t))
     assert plan.count("BroadcastExchange") == 2 and plan.count("SortMergeJoin") >= 14
+
+
+def test_the_mart_has_all_its_columns(tables):
+    mart = pricing.pricing_mart(Tables(tables.spark, tables.sf_dir))
+    assert len(mart.columns) == 59
+    rows = mart.select("key", "brand", "qty_30d", "calc_cost", "off_invoice_adjusted_cost", "remark_1", "discount_bucket").collect()
+    assert rows and all(r.brand and r.qty_30d is not None and r.calc_cost == r.off_invoice_adjusted_cost and r.remark_1 and r.discount_bucket for r in rows)
